@@ -1 +1,10 @@
+"""Named queries over the given tables; importing this package registers all of them."""
+import importlib
+import pkgutil
 
+from .registry import ORACLES, QUERIES
+
+for _m in pkgutil.iter_modules(__path__):
+    importlib.import_module(f"{__name__}.{_m.name}")
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -16,6 +16,7 @@ def build(cpus: str = "8", partitions: int | None = None) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("cohortloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
