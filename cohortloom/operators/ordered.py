@@ -1,11 +1,12 @@
 """Ordered work per key (lag, running totals, ranks, quantiles) that survives hot keys.
 
-A plain ``Window.partitionBy(key)`` or ``percentile`` gathers one key in one task.  Here a key
-with more than ``rows_per_chunk`` rows is cut into consecutive value ranges ("chunks"); the
-window runs inside a chunk and a table with one row per chunk carries the state across.  Chunk
-bounds come from a hash-picked sample, so every attempt of a task derives the same bounds.
-Keys below the limit have a NULL chunk and take no part in the carry join, which adaptive
-execution drops altogether when no key is hot.
+A plain ``Window.partitionBy(key)`` or ``percentile`` gathers one key in one task.  That is right
+while the whole input is small enough for one task, which ``fits_one_task`` reads off the sizes of
+the scanned files; the plain form is then used.  Beyond it, a key with more than about
+``rows_per_chunk`` rows is cut into consecutive value ranges ("chunks"): the window runs inside a
+chunk and a table with one row per chunk carries the state across.  Chunk bounds come from a
+hash-picked sample, so every attempt of a task derives the same bounds.  Keys below the limit have
+a NULL chunk and take no part in the carry join.
 """
 from __future__ import annotations
 
@@ -14,12 +15,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 1_000_000
-POINTS_PER_CHUNK = 16
-MAX_POINTS = 1 << 18
+ROWS_PER_CHUNK = 4_000_000
+QUANTILE_ROWS = 500_000  # values of one key the built-in exact percentile may hold in a task
+POINTS_PER_CHUNK = 8  # sampled rows per chunk: a trillion-row key samples about two million
+SMALL_INPUT_BYTES = 32 << 20
 _ALL = "_all_rows"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the files and relations a plan reads, from the optimizer's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    return input_bytes(df) <= SMALL_INPUT_BYTES
+
+
+def _plain(df: DataFrame, rows_per_chunk: int | None) -> bool:
+    return rows_per_chunk is None and fits_one_task(df)
+
+
 def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also pairs NULL keys and keeps one copy of each key column."""
     renamed = right.select(
@@ -56,17 +72,17 @@ def range_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Add ``_chunk``: ascending range number within a hot key, NULL for every other key."""
+    if _plain(df, rows_per_chunk):
+        return df.withColumn("_chunk", F.lit(None).cast("int"))
     limit = rows_per_chunk or ROWS_PER_CHUNK
     value = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    sizes = hot_keys(df, keys, limit)
     unit = F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    rate = F.least(F.lit(POINTS_PER_CHUNK / limit), F.lit(float(MAX_POINTS)) / F.col("_n"))
-    sampled = df.join(sizes, list(keys), "inner").where(unit < rate)
+    sampled = df.select(*keys, *[c for c in order if c not in keys]).where(unit < F.lit(POINTS_PER_CHUNK / limit))
     points = sampled.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_points"))
     bounds = points.select(
         *keys, F.filter("_points", lambda x, i: i % POINTS_PER_CHUNK == POINTS_PER_CHUNK - 1).alias("_bounds")
-    )
-    chunk = F.when(F.col("_bounds").isNotNull(), _position(F.col("_bounds"), value, 17))
+    ).where(F.size("_bounds") > 0)
+    chunk = F.when(F.col("_bounds").isNotNull(), _position(F.col("_bounds"), value, 22))
     return df.join(bounds, list(keys), "left").withColumn("_chunk", chunk).drop("_bounds")
 
 
@@ -80,6 +96,11 @@ def with_neighbor(
 ) -> DataFrame:
     """Add the previous (offset -1) or next (+1) row's columns; ``order`` must be unique per key."""
     base, by = _keyed(df, keys)
+    step = F.lag if offset < 0 else F.lead
+    if _plain(df, rows_per_chunk):
+        w = Window.partitionBy(*by).orderBy(*order)
+        near = [step(F.col(c) if isinstance(c, str) else c).over(w).alias(n) for n, c in columns.items()]
+        return base.select(*df.columns, *near)
     chunks = range_chunks(base, by, order, rows_per_chunk)
     packed = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
     chunks = chunks.withColumn("_self", packed)
@@ -87,7 +108,6 @@ def with_neighbor(
     place = F.struct(*order)
     edge = F.max_by("_self", place) if offset < 0 else F.min_by("_self", place)
     across = Window.partitionBy(*by).orderBy("_chunk")
-    step = F.lag if offset < 0 else F.lead
     carry = (
         chunks.where(F.col("_chunk").isNotNull()).groupBy(*by, "_chunk").agg(edge.alias("_edge"))
         .select(*by, "_chunk", step("_edge").over(across).alias("_carried"))
@@ -115,8 +135,15 @@ def running(
     base, by = _keyed(df, keys)
     for n, (_, c) in columns.items():
         base = base.withColumn(f"_in_{n}", F.col(c) if isinstance(c, str) else c)
-    chunks = range_chunks(base, by, order, rows_per_chunk)
     last_row = Window.currentRow if inclusive else -1
+    if _plain(df, rows_per_chunk):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
+        out = []
+        for n, (kind, _) in columns.items():
+            v = _MERGE[kind](F.col(f"_in_{n}")).over(w)
+            out.append((F.coalesce(v, F.lit(0)) if kind == "sum" else v).alias(n))
+        return base.select(*df.columns, *out)
+    chunks = range_chunks(base, by, order, rows_per_chunk)
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)
@@ -177,13 +204,14 @@ def exact_quantiles(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key as an array; NULL values are left out."""
-    limit = rows_per_chunk or ROWS_PER_CHUNK
+    limit = rows_per_chunk or QUANTILE_ROWS
     base, by = _keyed(df, keys)
     rows = base.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    builtin = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
+    if _plain(df, rows_per_chunk):
+        return rows.groupBy(*by).agg(builtin).select(*keys, name)
     hot = hot_keys(rows, by, limit)
-    small = rows.join(hot, by, "left_anti").groupBy(*by).agg(
-        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
-    )
+    small = rows.join(hot, by, "left_anti").groupBy(*by).agg(builtin)
     counts = value_counts(rows.join(hot, by, "left_semi"), by, "_v")
     placed = running(counts, by, ["_v"], {"_below": ("sum", "_count")}, inclusive=False, rows_per_chunk=limit)
     placed = placed.join(hot, by)
