@@ -1,4 +1,7 @@
-"""Compare registered queries with their SQL twins: python check.py [sf_dir] [name-prefix ...]"""
+"""Compare registered queries with their SQL twins: python check.py [--chunked] [sf_dir] [name-prefix ...]
+
+--chunked forces the hot-key path (small chunks) on inputs that would otherwise use plain windows.
+"""
 import math
 import sys
 import time
@@ -6,6 +9,7 @@ import time
 import duckdb
 
 from cohortloom import plans, session
+from cohortloom.operators import ordered
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,6 +41,9 @@ def rows_of(cols, rows):
 
 
 def main():
+    if "--chunked" in sys.argv:
+        sys.argv.remove("--chunked")
+        ordered.SMALL_INPUT_BYTES, ordered.ROWS_PER_CHUNK, ordered.QUANTILE_ROWS = -1, 40, 20
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = sys.argv[2:]
     spark = session.build("8")

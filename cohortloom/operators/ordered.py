@@ -83,6 +83,8 @@ def range_chunks(
         *keys, F.filter("_points", lambda x, i: i % POINTS_PER_CHUNK == POINTS_PER_CHUNK - 1).alias("_bounds")
     ).where(F.size("_bounds") > 0)
     chunk = F.when(F.col("_bounds").isNotNull(), _position(F.col("_bounds"), value, 22))
+    if list(keys) == [_ALL]:  # one bounds array for the whole table: no join, so no shuffle on a constant key
+        return df.withColumn("_bounds", bounds.select("_bounds").scalar()).withColumn("_chunk", chunk).drop("_bounds")
     return df.join(bounds, list(keys), "left").withColumn("_chunk", chunk).drop("_bounds")
 
 
