@@ -48,12 +48,12 @@ def t_quantile_value(p: float, dof: float) -> float:
     return (lo + hi) / 2
 
 
-def signed_rank_p(w: float, n: float, tie_term: float, ties: float) -> float:
-    """Two-sided p of W = min(W+, W-): exact counts for small tie-free n, else the normal tail."""
+def signed_rank_p(w: float, n: float, tie_term: float, approximate: float) -> float:
+    """Two-sided p of W = min(W+, W-): exact counts for small n without ties or zeros, else the normal tail."""
     n = int(n)
     if n == 0:
         return 1.0
-    if n <= EXACT_LIMIT and not ties:
+    if n <= EXACT_LIMIT and not approximate:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for rank in range(1, n + 1):
@@ -80,5 +80,5 @@ def t_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def wilcoxon_p(w: pd.Series, n: pd.Series, tie_term: pd.Series, ties: pd.Series) -> pd.Series:
-    return _each(signed_rank_p, w, n, tie_term, ties)
+def wilcoxon_p(w: pd.Series, n: pd.Series, tie_term: pd.Series, approximate: pd.Series) -> pd.Series:
+    return _each(signed_rank_p, w, n, tie_term, approximate)
