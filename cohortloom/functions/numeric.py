@@ -53,17 +53,24 @@ def row_mean(cols: Sequence[Column]) -> Column:
     return F.when(F.size(present) > 0, total / F.size(present))
 
 
-def softmax(scores: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp((s - top) / temperature))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
-
-
-def softmax_expectation(scores: Column, temperature: float = 1.0) -> Column:
+def softmax(scores: Column, temperature: float = 1.0, classes: int = 4) -> list[Column]:
+    """Class shares from a score array; written out per class so it stays in generated code."""
+    each = [F.get(scores, F.lit(i)) for i in range(classes)]
+    top = F.greatest(*each)
+    e = [F.exp((s - top) / temperature) for s in each]
+    total = e[0]
+    for x in e[1:]:
+        total = total + x
+    return [x / total for x in e]
+
+
+def softmax_expectation(scores: Column, temperature: float = 1.0, classes: int = 4) -> Column:
     """Expected level sum(p_i * i), levels counted from 1."""
-    weighted = F.transform(softmax(scores, temperature), lambda p, i: p * (i + 1))
-    return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+    shares = softmax(scores, temperature, classes)
+    out = shares[0]
+    for i, p in enumerate(shares[1:], start=2):
+        out = out + p * i
+    return out
 
 
 def argmax_low(scores: Column) -> Column:

@@ -54,18 +54,22 @@ def encode_prefixes(levels: Column, names: Sequence[str], ranking: Sequence[int]
     book = hv.level_codebook(seed, n_levels, dim)
     tie = hv.bipolar(seed, "bundle_tie", "shared", dim)
     order, snaps = list(ranking), set(ks)
+    wide = np.int16 if len(order) < 1 << 15 else np.int32
+    block = max(1, (1 << 19) // dim)  # rows whose running sums fit in cache
     schema = T.StructType([T.StructField(f"k{k}", TINY) for k in ks])
 
     @F.pandas_udf(schema)
     def encode(batch: pd.Series) -> pd.DataFrame:
         at = np.stack(batch.to_numpy())
-        total = np.zeros((len(at), dim), dtype=np.int32)
-        out = {}
-        for n, f in enumerate(order, start=1):
-            total += ident[f] * book[at[:, f]]
-            if n in snaps:
-                out[f"k{n}"] = list(np.where(total == 0, tie, np.sign(total)).astype(np.int8))
-        return pd.DataFrame({f"k{k}": out[f"k{k}"] for k in ks})
+        out = {k: [] for k in ks}
+        for start in range(0, len(at), block):
+            part = at[start : start + block]
+            total = np.zeros((len(part), dim), dtype=wide)
+            for n, f in enumerate(order, start=1):
+                total += book[part[:, f]] * ident[f]
+                if n in snaps:
+                    out[n].extend(np.where(total == 0, tie, np.sign(total)).astype(np.int8))
+        return pd.DataFrame({f"k{k}": out[k] for k in ks})
 
     return encode(levels)
 

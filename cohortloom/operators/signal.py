@@ -199,6 +199,22 @@ def _carry(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(left_in=left, right_in=right)
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("flo", "fhi", "blo", "bhi")]))
+def _chunk_clamps(samples: pd.Series, limits: pd.Series) -> pd.DataFrame:
+    rows = [(*_chunk_clamp(np.asarray(x), t), *_chunk_clamp(np.asarray(x)[::-1], t)) for x, t in zip(samples, limits)]
+    return pd.DataFrame(rows, columns=["flo", "fhi", "blo", "bhi"])
+
+
+@F.pandas_udf(T.LongType())
+def _count_peaks(samples: pd.Series, tops: pd.Series, limits: pd.Series, left_in: pd.Series, right_in: pd.Series) -> pd.Series:
+    out = []
+    for x, top, t, a, b in zip(samples, tops, limits, left_in, right_in):
+        x = np.asarray(x)
+        left, right = _clamp_scan(x, t, a), _clamp_scan(x[::-1], t, b)[::-1]
+        out.append(int((np.asarray(top, dtype=bool) & (x >= left) & (x >= right)).sum()))
+    return pd.Series(out, dtype="int64")
+
+
 def peak_counts(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, factor: float = 0.25, rows_per_chunk: int | None = None
 ) -> DataFrame:
@@ -214,36 +230,23 @@ def peak_counts(
     both = ordered.with_neighbor(turns, keys, order, {"_next": "_x"}, 1, rows_per_chunk)
     peaked = both.withColumn("_peak", F.coalesce((F.col("_x") > F.col("_prev")) & (F.col("_x") > F.col("_next")), F.lit(False)))
     chunks = ordered.range_chunks(peaked, keys, order, rows_per_chunk)
-    work = ordered.key_join(chunks, spread.select(*keys, "_t"), keys).select(*keys, "_chunk", *order, "_x", "_peak", "_t")
-    order = list(order)
-
-    def clamp_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, t = pdf["_x"].to_numpy(), float(pdf["_t"].iloc[0])
-        flo, fhi = _chunk_clamp(x, t)
-        blo, bhi = _chunk_clamp(x[::-1], t)
-        return pdf[[*keys, "_chunk"]].head(1).assign(flo=flo, fhi=fhi, blo=blo, bhi=bhi)
-
+    work = ordered.key_join(chunks, spread.select(*keys, "_t"), keys)
+    # One row per (key, chunk): its samples in order. A chunk is bounded, whatever the key's length.
+    packed = F.array_sort(F.collect_list(F.struct(*order, "_x", "_peak")))
+    parts = work.groupBy(*keys, "_chunk", "_t").agg(packed.alias("_s")).select(
+        *keys, "_chunk", "_t", F.transform("_s", lambda v: v["_x"]).alias("_xs"), F.transform("_s", lambda v: v["_peak"]).alias("_tops")
+    )
     key_fields = [T.StructField(k, types[k]) for k in keys] + [T.StructField("_chunk", T.IntegerType())]
     clamp_fields = [T.StructField(c, T.DoubleType()) for c in ("flo", "fhi", "blo", "bhi")]
     state_fields = [T.StructField(c, T.DoubleType()) for c in ("left_in", "right_in")]
-    hot = work.where(F.col("_chunk").isNotNull())
-    clamps = hot.groupBy(*keys, "_chunk").applyInPandas(clamp_of, T.StructType(key_fields + clamp_fields))
+    hot = parts.where(F.col("_chunk").isNotNull())
+    clamps = hot.select(*keys, "_chunk", _chunk_clamps("_xs", "_t").alias("_c")).select(*keys, "_chunk", "_c.*")
     states = clamps.groupBy(*keys).applyInPandas(_carry, T.StructType(key_fields + clamp_fields + state_fields))
-    states = states.select(*keys, "_chunk", "left_in", "right_in")
-    inf = F.lit(float("inf"))
-    ready = work.join(states, [*keys, "_chunk"], "left").fillna({"left_in": float("inf"), "right_in": float("inf")})
-
-    def count_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, t = pdf["_x"].to_numpy(), float(pdf["_t"].iloc[0])
-        left = _clamp_scan(x, t, float(pdf["left_in"].iloc[0]))
-        right = _clamp_scan(x[::-1], t, float(pdf["right_in"].iloc[0]))[::-1]
-        hits = int((pdf["_peak"].to_numpy() & (x >= left) & (x >= right)).sum())
-        return pdf[keys].head(1).assign(_hits=hits)
-
-    hit_schema = T.StructType(key_fields[:-1] + [T.StructField("_hits", T.LongType())])
-    hits = ready.groupBy(*keys, "_chunk").applyInPandas(count_of, hit_schema).groupBy(*keys).agg(F.sum("_hits").alias("_hits"))
+    ready = parts.join(states.select(*keys, "_chunk", "left_in", "right_in"), [*keys, "_chunk"], "left").fillna(
+        {"left_in": float("inf"), "right_in": float("inf")}
+    )
+    counted = ready.select(*keys, _count_peaks("_xs", "_tops", "_t", "left_in", "right_in").alias("_hits"))
+    hits = counted.groupBy(*keys).agg(F.sum("_hits").alias("_hits"))
     joined = ordered.key_join(spread, hits, keys, "left")
     found = F.when(F.col("_sd") > 0, F.coalesce("_hits", F.lit(0))).otherwise(F.lit(0).cast("long"))
     return joined.select(*keys, F.when(F.col("_n") >= 3, found).alias("peak_count"))

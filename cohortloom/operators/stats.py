@@ -89,27 +89,36 @@ def _draw(salt: str, rep: Column, position: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
-def resamples(units: DataFrame, keys: Sequence[str], unit: str, reps: int, salt: str) -> tuple[DataFrame, DataFrame]:
-    """(numbered units, draws): every unit row draws one position per replicate, n draws in all.
+def number_units(units: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """Units with their 0-based position ``_i`` in the key and the key's size ``_n``."""
+    numbered = ordered.row_numbers(units, keys, [unit], "_i").withColumn("_i", F.col("_i") - 1)
+    if not keys:
+        return numbered.withColumn("_n", units.agg(F.count(F.lit(1))).scalar())
+    return ordered.key_join(numbered, units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+
 
-    The draws are made where the unit rows lie; the pick is a digest of (salt, replicate, position),
-    so a lost task redraws the same sample.
+def draw_weights(numbered: DataFrame, keys: Sequence[str], reps: int, salt: str) -> DataFrame:
+    """How often position ``_i`` is drawn in replicate ``_rep``, for every key size ``_n``.
+
+    A draw is a digest of (salt, replicate, draw number) modulo the size, so keys of equal size
+    share one set of draws, made where the unit rows of one such key lie; a lost task redraws the
+    same sample.
     """
-    n = units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else units.agg(F.count(F.lit(1)).alias("_n"))
-    numbered = ordered.row_numbers(units, keys, [unit], "_i").withColumn("_i", F.col("_i") - 1)
-    if keys:
-        counted = ordered.key_join(numbered.select(*keys, "_i"), n, keys)
-    else:
-        counted = numbered.select("_i").withColumn("_n", n.scalar())
-    draws = counted.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return numbered, draws.select(*keys, "_rep", _draw(salt, F.col("_rep"), F.col("_i"), F.col("_n")).alias("_i"))
+    first = F.struct(*keys) if keys else F.lit(0)
+    marked = numbered.select(first.alias("_k"), "_i", "_n")
+    one = marked.groupBy("_n").agg(F.min("_k").alias("_k"))
+    positions = marked.join(one, ["_n", "_k"]).select("_n", "_i")
+    draws = positions.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    picks = draws.select("_n", "_rep", _draw(salt, F.col("_rep"), F.col("_i"), F.col("_n")).alias("_i"))
+    return picks.groupBy("_n", "_rep", "_i").agg(F.count(F.lit(1)).alias("_w"))
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: str, value: str, reps: int = 2000, salt: str = "boot", level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean over units."""
-    numbered, draws = resamples(df.where(F.col(value).isNotNull()), keys, unit, reps, salt)
-    picked = draws.join(numbered.select(*keys, "_i", value), [*keys, "_i"])
-    means = picked.groupBy(*keys, "_rep").agg(F.avg(value).alias("_estimate"))
+    """Percentile interval of the mean over units, from draw counts instead of copied rows."""
+    numbered = number_units(df.where(F.col(value).isNotNull()), keys, unit)
+    weights = draw_weights(numbered, keys, reps, salt)
+    weighted = numbered.select(*keys, "_n", "_i", value).join(weights, ["_n", "_i"])
+    means = weighted.groupBy(*keys, "_n", "_rep").agg((F.sum(F.col(value) * F.col("_w")) / F.col("_n")).alias("_estimate"))
     tail = (1 - level) / 2
     q = ordered.exact_quantiles(means, keys, "_estimate", [tail, 1 - tail], "_q")
     point = df.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(value).alias("units"))
@@ -126,8 +135,8 @@ def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], unit: str, metric: s
     """
     sums = pred.groupBy(*keys, unit).agg(*metrics.class_sums())
     parts = [c for c in sums.columns if c not in (*keys, unit)]
-    numbered, draws = resamples(pred.select(unit).distinct(), [], unit, reps, salt)
-    weights = draws.groupBy("_rep", "_i").agg(F.count(F.lit(1)).alias("_w")).join(numbered, "_i").select("_rep", unit, "_w")
+    numbered = number_units(pred.select(unit).distinct(), [], unit)
+    weights = draw_weights(numbered, [], reps, salt).join(numbered, ["_n", "_i"]).select("_rep", unit, "_w")
     pooled = sums.join(weights, unit).groupBy(*keys, "_rep").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in parts])
     scores = pooled.select(*keys, "_rep", *metrics.class_scores())
     q = ordered.exact_quantiles(scores, keys, metric, [0.025, 0.975], "_q")
