@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from cohortloom.functions import vectors as hv
 from cohortloom.functions.numeric import bound, softmax_expectation
 
 from . import ordered
+from .models import ridge
 from .prep import quantize_level
 
 CLASSES = (0, 1, 2, 3)
@@ -147,7 +147,7 @@ def _visit(model: np.ndarray, owner: np.ndarray, x: np.ndarray, label: int, rate
 
 def fit_online(
     train: DataFrame, initial: DataFrame, keys: Sequence[str], ident: str, label: str, vec: str, epochs: int, rate: float, margin: float,
-    seed: int, per_class: int = 1, chunk_rows: int = 50_000,
+    seed: int, per_class: int = 1, chunk_rows: int = 10_000,
 ) -> DataFrame:
     """Sequential learner over class rows (``per_class`` = 1) or several centroids per class.
 
@@ -251,16 +251,11 @@ def select_temperature(df: DataFrame, keys: Sequence[str], split: str, scores: s
 
 
 def fit_ridge(train: DataFrame, vec: str, target: str, alpha: float, dim: int):
-    """Ridge read-out on vec / sqrt(D); penalty ``alpha`` on the sum of squared errors.
-
-    Spark minimises mean squared error / 2 + lambda |w|^2 / 2, hence lambda = alpha / n. The solver
-    aggregates gradients (or a bounded Gram matrix) and never gathers rows.
-    """
+    """Ridge read-out on vec / sqrt(D); gradients or a bounded Gram matrix are summed, rows never gathered."""
     data = train.select(
         array_to_vector(F.transform(vec, lambda x: x / F.lit(float(dim) ** 0.5))).alias("features"), F.col(target).cast("double").alias("label")
     )
-    n = data.count()
-    return LinearRegression(regParam=alpha / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(data)
+    return ridge(data, alpha, dim)
 
 
 def apply_ridge(model, df: DataFrame, vec: str, dim: int) -> DataFrame:

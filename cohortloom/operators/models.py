@@ -57,12 +57,32 @@ def boosted_regressor(train: DataFrame, rounds: int = 100, rate: float = 0.1, de
     return GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=depth, lossType="squared", seed=seed).fit(train)
 
 
-def ridge(train: DataFrame, alpha: float = 1.0):
-    return LinearRegression(regParam=alpha / train.count(), elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200).fit(train)
+GRAM_LIMIT = 4096  # widest input for which Spark sums a features x features matrix
 
 
-def elastic_net(train: DataFrame, alpha: float = 0.01, l1_ratio: float = 0.5):
-    return LinearRegression(regParam=alpha, elasticNetParam=l1_ratio, standardization=False, tol=1e-9, maxIter=500).fit(train)
+def penalized_regression(train: DataFrame, l1: float, l2: Callable[[int], float], dim: int):
+    """Least squares / (2n) + l1 |w| + l2(n) |w|^2 / 2, no penalty on the intercept.
+
+    Spark scales the label to unit spread before it applies ``regParam``, which leaves the l1 part
+    as given and divides the l2 part by the label's spread; both are set here to cancel that.
+    """
+    n, pop, samp = train.agg(F.count(F.lit(1)), F.stddev_pop("label"), F.stddev_samp("label")).first()
+    exact = dim <= GRAM_LIMIT
+    ridge_part = l2(n) * (pop if exact else samp)
+    total = l1 + ridge_part
+    return LinearRegression(
+        regParam=total, elasticNetParam=l1 / total if total else 0.0, standardization=False,
+        solver="normal" if exact else "l-bfgs", maxIter=500, tol=1e-9,
+    ).fit(train)
+
+
+def ridge(train: DataFrame, alpha: float = 1.0, dim: int = 1):
+    """Penalty ``alpha`` |w|^2 beside the sum of squared errors."""
+    return penalized_regression(train, 0.0, lambda n: alpha / n, dim)
+
+
+def elastic_net(train: DataFrame, alpha: float = 0.01, l1_ratio: float = 0.5, dim: int = 1):
+    return penalized_regression(train, alpha * l1_ratio, lambda n: alpha * (1 - l1_ratio), dim)
 
 
 def least_squares_on_components(train: DataFrame, components: int = 2):

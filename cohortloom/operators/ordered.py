@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom import session
+
 ROWS_PER_CHUNK = 4_000_000
 QUANTILE_ROWS = 500_000  # values of one key the built-in exact percentile may hold in a task
 POINTS_PER_CHUNK = 8  # sampled rows per chunk: a trillion-row key samples about two million
@@ -38,6 +40,8 @@ def _plain(df: DataFrame, rows_per_chunk: int | None) -> bool:
 
 def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also pairs NULL keys and keeps one copy of each key column."""
+    if not keys:  # one row on each side
+        return left.withColumn(_ALL, F.lit(0)).join(right.withColumn(_ALL, F.lit(0)), _ALL, how).drop(_ALL)
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
@@ -48,6 +52,18 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def settle(df: DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder before another ordered step.
+
+    The chunked form reads its input several times; stacked steps would multiply that. Small
+    inputs stay lazy.
+    """
+    if _plain(df, rows_per_chunk):
+        return df
+    session.checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 

@@ -124,7 +124,7 @@ def abs_mean_and_variance(df: DataFrame, keys: Sequence[str], value: str) -> Dat
 
 def first_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     near = ordered.with_neighbor(df, keys, order, {"_prev": value})
-    return near.withColumn(value, F.col(value) - F.col("_prev")).drop("_prev")
+    return ordered.settle(near.withColumn(value, F.col(value) - F.col("_prev")).drop("_prev"))
 
 
 def event_rate(df: DataFrame, keys: Sequence[str], t: str, event: str) -> DataFrame:
@@ -226,10 +226,10 @@ def peak_counts(
         F.stddev_pop("_x").alias("_sd"), F.count(F.lit(1)).alias("_n"), F.greatest(factor * F.stddev_pop("_x"), F.lit(1e-12)).alias("_t")
     )
     before = ordered.with_neighbor(present, keys, order, {"_prev": "_x"}, -1, rows_per_chunk)
-    turns = before.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_x")))
+    turns = ordered.settle(before.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_x"))), rows_per_chunk)
     both = ordered.with_neighbor(turns, keys, order, {"_next": "_x"}, 1, rows_per_chunk)
     peaked = both.withColumn("_peak", F.coalesce((F.col("_x") > F.col("_prev")) & (F.col("_x") > F.col("_next")), F.lit(False)))
-    chunks = ordered.range_chunks(peaked, keys, order, rows_per_chunk)
+    chunks = ordered.range_chunks(ordered.settle(peaked, rows_per_chunk), keys, order, rows_per_chunk)
     work = ordered.key_join(chunks, spread.select(*keys, "_t"), keys)
     # One row per (key, chunk): its samples in order. A chunk is bounded, whatever the key's length.
     packed = F.array_sort(F.collect_list(F.struct(*order, "_x", "_peak")))
@@ -315,7 +315,7 @@ def spectral_features(psd: DataFrame, keys: Sequence[str], normalized: bool = Fa
 def drop_last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     numbered = ordered.row_numbers(df, keys, order, "_rn")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return ordered.key_join(numbered, sizes, keys).where(F.col("_rn") <= F.col("_n") - n).drop("_rn", "_n")
+    return ordered.settle(ordered.key_join(numbered, sizes, keys).where(F.col("_rn") <= F.col("_n") - n).drop("_rn", "_n"))
 
 
 def open_eye_samples(df: DataFrame, keys: Sequence[str], order: Sequence[str], openness: str, threshold: float = 0.5) -> DataFrame:
@@ -337,7 +337,7 @@ def saccade_metrics(df: DataFrame, keys: Sequence[str], event: str, order: Seque
     by = [*keys, event]
     near = ordered.with_neighbor(df.where(F.col(event) >= 0), by, order, {f"_p_{c}": c for c in xyz})
     step = sum(((F.col(c) - F.col(f"_p_{c}")) ** 2 for c in xyz[1:]), (F.col(xyz[0]) - F.col(f"_p_{xyz[0]}")) ** 2)
-    near = near.withColumn("_step", F.sqrt(step))
+    near = ordered.settle(near.withColumn("_step", F.sqrt(step)))
     place, point = F.struct(*order), F.struct(*xyz)
     ends = near.groupBy(*by).agg(
         F.count(F.lit(1)).alias("samples"), duration(t).alias("duration"), F.min_by(point, place).alias("_a"), F.max_by(point, place).alias("_b")

@@ -174,13 +174,13 @@ def m06_reg(spark, sf):
 @query("m07_ridge")
 def m07(spark, sf):
     v, train = _data(spark, sf, "target_score")
-    return models.regression_output(models.ridge(train, 1.0).transform(v), ["vec_id", "target_score"])
+    return models.regression_output(models.ridge(train, 1.0, 64).transform(v), ["vec_id", "target_score"])
 
 
 @query("m08_elastic_net")
 def m08(spark, sf):
     v, train = _data(spark, sf, "target_score")
-    return models.regression_output(models.elastic_net(train, 0.001, 0.5).transform(v), ["vec_id", "target_score"])
+    return models.regression_output(models.elastic_net(train, 0.001, 0.5, 64).transform(v), ["vec_id", "target_score"])
 
 
 @query("m09_linear_svr")
