@@ -93,9 +93,13 @@ def margin_and_runner_up(scores: Column, label: Column) -> Column:
 
 def gaze_2d(x: Column, y: Column, z: Column) -> Column:
     """Screen position of a 3-D gaze direction."""
-    theta = F.degrees(F.atan(y / x))
+    def slope_degrees(a: Column, b: Column) -> Column:
+        upright = F.when(a != 0, F.signum(a) * 90.0)  # a/0 is a right angle, 0/0 unknown
+        return F.when(b == 0, upright).otherwise(F.degrees(F.atan(F.try_divide(a, b))))
+
+    theta = slope_degrees(y, x)
     theta = F.when(theta < 0, theta + 180).otherwise(theta)
-    phi = F.degrees(F.atan(y / z))
+    phi = slope_degrees(y, z)
     phi = F.when(phi < 0, phi + 180).otherwise(phi)
     phi = F.when(phi > 90, phi - 180).otherwise(phi)
     return F.struct((1440 * ((theta - 90) / 90)).alias("gaze_x"), (1600 * phi / 90).alias("gaze_y"))
@@ -131,14 +135,14 @@ def approach_errors(lat: Column, lon: Column, alt: Column, localizer_deflection:
     """struct of glide-slope, localizer and airspeed errors, each clamped to [-3, 3]."""
     g = geodetic_ned(lat, lon, alt, GLIDESLOPE_ORIGIN)
     distance = F.sqrt(g["north"] ** 2 + g["east"] ** 2 + g["down"] ** 2)
-    glideslope = -3 * (F.degrees(F.asin(g["down"] / distance)) + 3)
+    glideslope = -3 * (F.degrees(F.asin(F.try_divide(g["down"], distance))) + 3)
     loc = geodetic_ned(lat, lon, alt, LOCALIZER_ORIGIN)
     start = geodetic_ned(
         F.lit(APPROACH_START[1]), F.lit(APPROACH_START[0]), F.lit(LOCALIZER_ORIGIN[2]), LOCALIZER_ORIGIN
     )
     dot = loc["north"] * start["north"] + loc["east"] * start["east"]
     norms = F.sqrt(loc["north"] ** 2 + loc["east"] ** 2) * F.sqrt(start["north"] ** 2 + start["east"] ** 2)
-    localizer = F.degrees(F.acos(bound(dot / norms, -1.0, 1.0))) * F.signum(localizer_deflection)
+    localizer = F.degrees(F.acos(bound(F.try_divide(dot, norms), -1.0, 1.0))) * F.signum(localizer_deflection)
     past = lon > LOCALIZER_ORIGIN[0]
     return F.struct(
         F.when(past, 3.0).otherwise(bound(glideslope, -3.0, 3.0)).alias("glideslope_error"),

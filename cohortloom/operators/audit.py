@@ -81,7 +81,7 @@ def integrity(df: DataFrame, keys: Sequence[str], numeric: Sequence[str]) -> Dat
 def efficiency(df: DataFrame, keys: Sequence[str], cost: str, work: str) -> DataFrame:
     g = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("units"), F.sum(cost).alias("total"), F.avg(cost).alias("mean"), F.max(cost).alias("max"),
-        (F.sum(work) / F.sum(cost)).alias("throughput"),
+        F.try_divide(F.sum(work), F.sum(cost)).alias("throughput"),
     )
     q = ordered.exact_quantiles(df, keys, cost, [0.5], "_q")
     return ordered.key_join(g, q, keys).withColumn("median", F.get("_q", F.lit(0))).drop("_q")
@@ -257,7 +257,7 @@ def table_hash(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str] |
     cols = [c for c in (columns or df.columns) if c not in keys]
     h = F.conv(F.substring(row_digest([*keys, *cols]), 1, 15), 16, 10).cast("long")
     g = df.select(*keys, h.alias("_h")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor("_h").alias("xor_hash"), F.pmod(F.sum(F.pmod("_h", F.lit(1000000007))), F.lit(1000000007)).alias("sum_hash")
+        F.count(F.lit(1)).alias("rows"), F.bit_xor("_h").alias("xor_hash"), (F.sum(F.pmod("_h", F.lit(1000000007)).cast("decimal(20,0)")) % 1000000007).cast("long").alias("sum_hash")
     )
     return g
 

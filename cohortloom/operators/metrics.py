@@ -56,10 +56,10 @@ def class_scores(labels: Sequence[int] = LABELS) -> list[Column]:
 
     seen = add(F.when(sup[k] + pos[k] > 0, 1).otherwise(0) for k in labels)
     held = add(F.when(sup[k] > 0, 1).otherwise(0) for k in labels)
-    expected = F.col("_t2") + F.col("_p2") - 2 * F.col("_t") * F.col("_p") / n
+    expected = F.col("_t2") + F.col("_p2") - 2.0 * F.col("_t") * F.col("_p") / n
     return [
-        n.alias("rows"), (add(f1.values()) / len(labels)).alias("macro_f1"), (add(f1.values()) / seen).alias("macro_f1_observed"),
-        (add(f1[k] * sup[k] for k in labels) / n).alias("weighted_f1"), (add(recall.values()) / held).alias("balanced_accuracy"),
+        n.alias("rows"), (add(f1.values()) / len(labels)).alias("macro_f1"), F.try_divide(add(f1.values()), seen).alias("macro_f1_observed"),
+        (add(f1[k] * sup[k] for k in labels) / n).alias("weighted_f1"), F.try_divide(add(recall.values()), held).alias("balanced_accuracy"),
         (F.col("_hit") / n).alias("accuracy"), (F.col("_severe") / n).alias("severe_error_rate"),
         (F.col("_near") / n).alias("adjacent_accuracy"), F.col("_extreme").alias("extreme_confusions"),
         F.when(expected > 0, 1 - F.col("_d2") / expected).alias("quadratic_weighted_kappa"),
@@ -223,7 +223,9 @@ def roc_points(df: DataFrame, score: str, positive: Column, rows_per_chunk: int
     run = ordered.running(per, [], ["_down"], {"_tp": ("sum", "_pos"), "_fp": ("sum", "_neg")}, rows_per_chunk=rows_per_chunk)
     p = per.agg(F.sum("_pos")).scalar()
     n = per.agg(F.sum("_neg")).scalar()
-    return run.select("threshold", (F.col("_tp") / p).alias("tpr"), (F.col("_fp") / n).alias("fpr"), (F.col("_pos") / p).alias("_dy"), (F.col("_neg") / n).alias("_dx"))
+    return run.select("threshold", *[F.try_divide(c, total).alias(a) for c, total, a in (
+        (F.col("_tp"), p, "tpr"), (F.col("_fp"), n, "fpr"), (F.col("_pos"), p, "_dy"), (F.col("_neg"), n, "_dx")
+    )])
 
 
 def roc_auc(points: DataFrame) -> DataFrame:

@@ -87,11 +87,14 @@ def _scores(cell: DataFrame) -> DataFrame:
     n, total = F.col("rows"), F.col("ssb") + F.col("ssw")
     cov, syy = F.col("xy") - mean * F.col("y"), F.col("yy") - F.col("y") * F.col("y") / n
     r2 = F.when((total > 0) & (syy > 0), F.least(cov * cov / (total * syy), F.lit(1.0)))
-    anova = F.when((F.col("ssw") > 0) & (F.col("classes") > 1), (F.col("ssb") / (F.col("classes") - 1)) / (F.col("ssw") / (n - F.col("classes"))))
+    infinite = F.lit(float("inf"))  # a feature fixed by the label; ranks first
+    anova = F.when(
+        (F.col("ssw") > 0) & (F.col("classes") > 1), F.try_divide(F.col("ssb") * (n - F.col("classes")), F.col("ssw") * (F.col("classes") - 1))
+    ).when((F.col("ssb") > 0) & (F.col("classes") > 1), infinite)
     return g.select(
         "outer_fold", "feature", "pos", "is_indicator", "median", (F.col("gaps") > 0).alias("has_missing"), "rows", "mean",
         (total / n).alias("variance"), F.sqrt(total / n).alias("sd"), "qmin", "qmax", (F.col("qmax") > F.col("qmin")).alias("kept"),
-        anova.alias("anova_f"), (r2 / (1 - r2) * (n - 2)).alias("corr_f"),
+        anova.alias("anova_f"), F.when(r2 >= 1, infinite).otherwise(F.try_divide(r2, 1 - r2) * (n - 2)).alias("corr_f"),
     )
 
 

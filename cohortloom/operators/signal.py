@@ -38,7 +38,7 @@ def summarize(
     x = F.col(value)
     d = df.withColumn("_x", finite(x.cast("double")))
     ok = F.col("_x").isNotNull()
-    place = F.when(ok, F.struct(t, tie))
+    place = F.when(ok, ordered.order_key(t, tie))
     agg = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.count("_x").alias("_m"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("_sd"),
         F.min("_x").alias("min"), F.max("_x").alias("max"), F.skewness("_x").alias("_g1"), F.kurtosis("_x").alias("_g2"),
@@ -66,7 +66,7 @@ def summarize(
 
 def endpoint_slope(df: DataFrame, keys: Sequence[str], value: str, t: str, tie: str) -> DataFrame:
     ok = F.col(value).isNotNull()
-    place = F.when(ok, F.struct(t, tie))
+    place = F.when(ok, ordered.order_key(t, tie))
     g = df.groupBy(*keys).agg(
         F.min_by(value, place).alias("_a"), F.max_by(value, place).alias("_b"),
         (F.max(F.when(ok, F.col(t))) - F.min(F.when(ok, F.col(t)))).alias("_dt"),
@@ -301,7 +301,7 @@ def spectral_features(psd: DataFrame, keys: Sequence[str], normalized: bool = Fa
     """
     total = psd.groupBy(*keys).agg(F.sum("psd").alias("_total"))
     j = ordered.key_join(psd, total, keys)
-    share = F.col("psd") / F.col("_total")
+    share = F.try_divide("psd", "_total")
     inside = share if normalized else F.col("psd")
     return j.groupBy(*keys).agg(
         F.max("psd").alias("max_power"), F.max_by("freq", F.struct("psd", -F.col("bin"))).alias("freq_of_max"),
@@ -338,11 +338,12 @@ def saccade_metrics(df: DataFrame, keys: Sequence[str], event: str, order: Seque
     near = ordered.with_neighbor(df.where(F.col(event) >= 0), by, order, {f"_p_{c}": c for c in xyz})
     step = sum(((F.col(c) - F.col(f"_p_{c}")) ** 2 for c in xyz[1:]), (F.col(xyz[0]) - F.col(f"_p_{xyz[0]}")) ** 2)
     near = ordered.settle(near.withColumn("_step", F.sqrt(step)))
-    place, point = F.struct(*order), F.struct(*xyz)
+    place = ordered.order_key(*order)
     ends = near.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("samples"), duration(t).alias("duration"), F.min_by(point, place).alias("_a"), F.max_by(point, place).alias("_b")
+        F.count(F.lit(1)).alias("samples"), duration(t).alias("duration"),
+        *[f(c, place).alias(f"_{n}_{c}") for c in xyz for n, f in (("a", F.min_by), ("b", F.max_by))],
     ).where(F.col("samples") >= 2)
-    amp = sum(((F.col(f"_b.{c}") - F.col(f"_a.{c}")) ** 2 for c in xyz[1:]), (F.col(f"_b.{xyz[0]}") - F.col(f"_a.{xyz[0]}")) ** 2)
+    amp = sum(((F.col(f"_b_{c}") - F.col(f"_a_{c}")) ** 2 for c in xyz[1:]), (F.col(f"_b_{xyz[0]}") - F.col(f"_a_{xyz[0]}")) ** 2)
     peak = ordered.exact_quantiles(near, by, "_step", [0.99], "_q")
     j = ordered.key_join(ends, peak, by)
     return j.select(*by, "duration", F.sqrt(amp).alias("amplitude"), F.get("_q", F.lit(0)).alias("peak_velocity"))

@@ -27,7 +27,7 @@ def signed_ranks(df: DataFrame, keys: Sequence[str], diff: str, rows_per_chunk:
     rank, c = F.col("_below") + (F.col("_count") + 1) / 2.0, F.col("_count")
     return below.groupBy(*keys).agg(
         F.sum(F.col("_pos") * rank).alias("w_plus"), F.sum(F.col("_neg") * rank).alias("w_minus"), F.sum(c).alias("n"),
-        F.sum((c * c * c - c).cast("double")).alias("tie_term"), (F.sum("_all") - F.sum(c)).alias("zeros"),
+        F.sum(c.cast("double") * c * c - c).alias("tie_term"), (F.sum("_all") - F.sum(c)).alias("zeros"),
     )
 
 

@@ -64,7 +64,7 @@ def to_layout(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 def scored_interval(df: DataFrame, keys: Sequence[str], order: Sequence[str], speed: str, low_enough: Column) -> DataFrame:
     """Rows from the sample before the first speed change to the last one where ``low_enough`` holds."""
     nxt = ordered.with_neighbor(df, keys, order, {"_next": speed}, offset=1)
-    place = F.struct(*order)
+    place = ordered.order_key(*order)
     span = nxt.groupBy(*keys).agg(
         F.min(F.when(F.col("_next") != F.col(speed), place)).alias("_from"), F.max(F.when(low_enough, place)).alias("_to")
     )

@@ -79,6 +79,14 @@ def test_rounded_class_is_half_even(spark):
     assert list(got) == [0, 1, 1, 3, 3]
 
 
+def test_gaze_on_an_axis(spark):
+    d = lambda *v: numeric.gaze_2d(*[F.lit(float(x)) for x in v])
+    got = one(spark, d(0, 1, 1), d(1, 1, 0), d(0, 0, 1))
+    assert got[0].gaze_x == 0 and got[0].gaze_y == pytest.approx(800)
+    assert got[1].gaze_x == pytest.approx(-720) and got[1].gaze_y == pytest.approx(1600)
+    assert got[2].gaze_x is None
+
+
 def test_ned_at_origin_and_one_degree_north(spark):
     lon, lat, alt = numeric.GLIDESLOPE_ORIGIN
     at = one(spark, numeric.geodetic_ned(F.lit(lat), F.lit(lon), F.lit(alt), numeric.GLIDESLOPE_ORIGIN))[0]

@@ -157,6 +157,20 @@ def test_preparation_sees_training_rows_only(spark, sf):
     pd.testing.assert_frame_equal(state(base), state(shifted))
 
 
+def test_a_copy_of_the_target_ranks_first(spark):
+    rows = [(i, i % 5 + 1, i % 4, float(i % 4 + 1), f, p, float(i % 4 + 1) if f == "copy" else float(i * 7 % 13)) for i in range(80) for p, f in enumerate(("noise", "copy"))]
+    long = spark.createDataFrame(rows, "id long, fold long, y int, score double, feature string, pos int, value double")
+    state = prep.fit(long, "fold", 5, "y", "score")
+    for score in ("anova_f", "corr_f"):
+        assert {r.feature for r in prep.select(state, score, 1).collect()} == {"copy"}
+
+
+def test_metrics_survive_unknown_labels(spark):
+    df = spark.createDataFrame([(0, 9, 9)], "k int, y_true int, y_pred int")
+    got = metrics.classification_metrics(df, ["k"]).first()
+    assert got.rows == 1 and got.macro_f1 == 0 and got.balanced_accuracy is None
+
+
 def test_quantizer_clips_to_the_fitted_range(spark):
     lo, hi = F.lit(0.0), F.lit(4.0)
     row = spark.range(1).select(*[prep.quantize_level(F.lit(v), lo, hi, 5).alias(f"c{i}") for i, v in enumerate((-1.0, 5.0, 4.0, 1.9))], prep.quantize_level(F.lit(3.0), hi, hi, 5)).first()
