@@ -65,8 +65,12 @@ def encode_prefixes(levels: Column, names: Sequence[str], ranking: Sequence[int]
         for start in range(0, len(at), block):
             part = at[start : start + block]
             total = np.zeros((len(part), dim), dtype=wide)
+            recent = np.zeros((len(part), dim), dtype=np.int8)  # up to 127 terms of +-1 fit in a byte
             for n, f in enumerate(order, start=1):
-                total += book[part[:, f]] * ident[f]
+                recent += book[part[:, f]] * ident[f]
+                if n in snaps or n % 127 == 0:
+                    total += recent
+                    recent[:] = 0
                 if n in snaps:
                     out[n].extend(np.where(total == 0, tie, np.sign(total)).astype(np.int8))
         return pd.DataFrame({f"k{k}": out[k] for k in ks})

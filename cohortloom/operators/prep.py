@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered, tables
 
 INDICATOR = "missingindicator_"
+AFTER_FEATURES = 1_000_000  # indicator positions follow every feature position
 
 
 def train_copies(df: DataFrame, fold: str, k: int, out: str = "outer_fold") -> DataFrame:
@@ -57,21 +58,22 @@ def fit(long: DataFrame, fold: str, k: int, label: str, target: str, rows_per_ch
         "_means", F.lit(0.0), lambda a, p: a + F.coalesce(p["n"] * (p["mu"] - mean) * (p["mu"] - mean), F.lit(0.0))
     )
     within = F.coalesce("w2", F.lit(0.0)) + between + m * (med - mean) * (med - mean)
-    cell = cell.select(
-        "outer_fold", "feature", "pos", "label", "median", "lo", "hi", m.alias("gaps"), rows.alias("rows"), mean.alias("mean"), within.alias("within"),
-        (F.coalesce("xy", F.lit(0.0)) + med * F.coalesce("y_gap", F.lit(0.0))).alias("xy"),
-        (F.coalesce("y", F.lit(0.0)) + F.coalesce("y_gap", F.lit(0.0))).alias("y"), "yy", F.coalesce("y_gap", F.lit(0.0)).alias("y_gap"),
+    share = m / rows
+    y_gap = F.coalesce("y_gap", F.lit(0.0))
+    plain = F.struct(
+        F.col("feature").alias("feature"), F.col("pos").cast("long").alias("pos"), F.lit(False).alias("is_indicator"), med.alias("median"),
+        F.col("lo").alias("lo"), F.col("hi").alias("hi"), m.alias("gaps"), mean.alias("mean"), within.alias("within"),
+        (F.coalesce("xy", F.lit(0.0)) + med * y_gap).alias("xy"),
     )
-    plain = cell.select(*[c for c in cell.columns if c != "y_gap"], F.lit(False).alias("is_indicator"))
-    share = F.col("gaps") / F.col("rows")
-    last = F.max("pos").over(Window.partitionBy("outer_fold"))
-    flagged = cell.withColumn("_any", F.sum("gaps").over(Window.partitionBy("outer_fold", "feature"))).withColumn("_last", last).where("_any > 0")
-    marks = flagged.select(
-        "outer_fold", F.concat(F.lit(INDICATOR), "feature").alias("feature"), (F.col("_last") + 1 + F.col("pos")).alias("pos"), "label",
-        F.lit(0.0).alias("median"), F.when(share == 1, 1.0).otherwise(0.0).alias("lo"), F.when(share > 0, 1.0).otherwise(0.0).alias("hi"), F.lit(0).cast("long").alias("gaps"), "rows", share.alias("mean"),
-        (F.col("rows") * share * (1 - share)).alias("within"), F.col("y_gap").alias("xy"), "y", "yy", F.lit(True).alias("is_indicator"),
+    mark = F.struct(
+        F.concat(F.lit(INDICATOR), "feature").alias("feature"), (F.col("pos") + AFTER_FEATURES).cast("long").alias("pos"), F.lit(True).alias("is_indicator"),
+        F.lit(0.0).alias("median"), F.when(share == 1, 1.0).otherwise(0.0).alias("lo"), F.when(share > 0, 1.0).otherwise(0.0).alias("hi"), m.alias("gaps"),
+        share.alias("mean"), (rows * share * (1 - share)).alias("within"), y_gap.alias("xy"),
     )
-    return _scores(plain.unionByName(marks))
+    both = cell.select(
+        "outer_fold", "label", rows.alias("rows"), (F.coalesce("y", F.lit(0.0)) + y_gap).alias("y"), "yy", F.explode(F.array(plain, mark)).alias("_c")
+    )
+    return _scores(both.select("outer_fold", "label", "rows", "y", "yy", "_c.*"))
 
 
 def _scores(cell: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def _scores(cell: DataFrame) -> DataFrame:
         F.sum("within").alias("ssw"), F.collect_list(F.struct("mean", "rows")).alias("_classes"), F.count(F.lit(1)).alias("classes"),
         F.coalesce(F.min("lo"), F.lit(0.0)).alias("qmin"), F.coalesce(F.max("hi"), F.lit(0.0)).alias("qmax"),
         F.sum("xy").alias("xy"), F.sum("y").alias("y"), F.sum("yy").alias("yy"),
-    )
+    ).where(~F.col("is_indicator") | (F.col("gaps") > 0))
     mean = F.col("mean")
     ssb = F.aggregate("_classes", F.lit(0.0), lambda a, p: a + p["rows"] * (p["mean"] - mean) * (p["mean"] - mean))
     g = g.withColumn("ssb", ssb).drop("_classes")
@@ -92,7 +94,7 @@ def _scores(cell: DataFrame) -> DataFrame:
         (F.col("ssw") > 0) & (F.col("classes") > 1), F.try_divide(F.col("ssb") * (n - F.col("classes")), F.col("ssw") * (F.col("classes") - 1))
     ).when((F.col("ssb") > 0) & (F.col("classes") > 1), infinite)
     return g.select(
-        "outer_fold", "feature", "pos", "is_indicator", "median", (F.col("gaps") > 0).alias("has_missing"), "rows", "mean",
+        "outer_fold", "feature", "pos", "is_indicator", "median", (~F.col("is_indicator") & (F.col("gaps") > 0)).alias("has_missing"), "rows", "mean",
         (total / n).alias("variance"), F.sqrt(total / n).alias("sd"), "qmin", "qmax", (F.col("qmax") > F.col("qmin")).alias("kept"),
         anova.alias("anova_f"), F.when(r2 >= 1, infinite).otherwise(F.try_divide(r2, 1 - r2) * (n - 2)).alias("corr_f"),
     )

@@ -3,14 +3,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.functions.special import chi2_sf, wilcoxon_p
 
 from . import joins, metrics, ordered
 
 ZERO = 1e-12
+MAX_HELD = 20_000_000  # numbers a task keeps before it hands partial sums on
 
 
 def signed_ranks(df: DataFrame, keys: Sequence[str], diff: str, rows_per_chunk: int | None = None) -> DataFrame:
@@ -97,28 +101,66 @@ def number_units(units: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     return ordered.key_join(numbered, units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
 
 
-def draw_weights(numbered: DataFrame, keys: Sequence[str], reps: int, salt: str) -> DataFrame:
-    """How often position ``_i`` is drawn in replicate ``_rep``, for every key size ``_n``.
+def draws_of(numbered: DataFrame, keys: Sequence[str], reps: int, salt: str) -> DataFrame:
+    """The replicates that draw position ``_i`` (one entry per draw), for every key size ``_n``.
 
     A draw is a digest of (salt, replicate, draw number) modulo the size, so keys of equal size
-    share one set of draws, made where the unit rows of one such key lie; a lost task redraws the
-    same sample.
+    share one set of draws and a lost task redraws the same sample. The unit rows are spread out
+    first because each one makes ``reps`` draws.
     """
     first = F.struct(*keys) if keys else F.lit(0)
     marked = numbered.select(first.alias("_k"), "_i", "_n")
     one = marked.groupBy("_n").agg(F.min("_k").alias("_k"))
-    positions = marked.join(one, ["_n", "_k"]).select("_n", "_i")
+    spread = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    positions = marked.join(one, ["_n", "_k"]).select("_n", "_i").repartition(spread, "_n", "_i")
     draws = positions.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     picks = draws.select("_n", "_rep", _draw(salt, F.col("_rep"), F.col("_i"), F.col("_n")).alias("_i"))
-    return picks.groupBy("_n", "_rep", "_i").agg(F.count(F.lit(1)).alias("_w"))
+    return picks.groupBy("_n", "_i").agg(F.collect_list("_rep").alias("_reps"))
+
+
+def resampled_sums(units: DataFrame, keys: Sequence[str], columns: Sequence[str], reps: int) -> DataFrame:
+    """Per (keys, replicate): the columns summed over the drawn units.
+
+    A batch of units adds (draw counts) x (columns) as one matrix product, so a task emits one row
+    per key and replicate and no unit row is copied.
+    """
+    keys, columns = list(keys), list(columns)
+    types = {f.name: f.dataType for f in units.schema.fields}
+    schema = T.StructType(
+        [T.StructField(k, types[k]) for k in keys] + [T.StructField("_rep", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in columns]
+    )
+
+    def add_up(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, g in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                counts = np.stack([np.bincount(r, minlength=reps + 1)[1:] for r in g["_reps"]])
+                part = counts.T @ g[columns].to_numpy(dtype=float)
+                sums[key] = sums[key] + part if key in sums else part
+            if len(sums) * reps * len(columns) > MAX_HELD:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
+
+    def rows(sums):
+        for key, total in sums.items():
+            out = pd.DataFrame(total, columns=columns)
+            out.insert(0, "_rep", np.arange(1, reps + 1, dtype="int32"))
+            for k, v in reversed(list(zip(keys, key))):
+                out.insert(0, k, v)
+            yield out
+
+    partial = units.select(*keys, "_reps", *columns).mapInPandas(add_up, schema)
+    return partial.groupBy(*keys, "_rep").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: str, value: str, reps: int = 2000, salt: str = "boot", level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean over units, from draw counts instead of copied rows."""
+    """Percentile interval of the mean over units."""
     numbered = number_units(df.where(F.col(value).isNotNull()), keys, unit)
-    weights = draw_weights(numbered, keys, reps, salt)
-    weighted = numbered.select(*keys, "_n", "_i", value).join(weights, ["_n", "_i"])
-    means = weighted.groupBy(*keys, "_n", "_rep").agg((F.sum(F.col(value) * F.col("_w")) / F.col("_n")).alias("_estimate"))
+    # A position nobody draws adds nothing and drops out of the join.
+    drawn = numbered.withColumn("_one", F.lit(1.0)).join(draws_of(numbered, keys, reps, salt), ["_n", "_i"])
+    sums = resampled_sums(drawn, keys, [value, "_one"], reps)
+    means = sums.select(*keys, (F.col(value) / F.col("_one")).alias("_estimate"))
     tail = (1 - level) / 2
     q = ordered.exact_quantiles(means, keys, "_estimate", [tail, 1 - tail], "_q")
     point = df.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(value).alias("units"))
@@ -129,16 +171,14 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: str, value: str, reps
 def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], unit: str, metric: str, reps: int = 2000, salt: str = "cluster") -> DataFrame:
     """Percentile interval of a pooled classification metric, resampling whole units.
 
-    Each unit is first reduced to its additive sums; a replicate adds up the sums of its drawn units
-    with their multiplicity, so prediction rows are read once whatever the number of replicates.
-    The same draws serve every key.
+    Each unit is first reduced to its additive sums; a replicate adds up the sums of its drawn units,
+    so prediction rows are read once whatever the number of replicates. The same draws serve every key.
     """
     sums = pred.groupBy(*keys, unit).agg(*metrics.class_sums())
     parts = [c for c in sums.columns if c not in (*keys, unit)]
     numbered = number_units(pred.select(unit).distinct(), [], unit)
-    weights = draw_weights(numbered, [], reps, salt).join(numbered, ["_n", "_i"]).select("_rep", unit, "_w")
-    pooled = sums.join(weights, unit).groupBy(*keys, "_rep").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in parts])
-    scores = pooled.select(*keys, "_rep", *metrics.class_scores())
+    drawn = sums.join(numbered.join(draws_of(numbered, [], reps, salt), ["_n", "_i"]).select(unit, "_reps"), unit)
+    scores = resampled_sums(drawn, keys, parts, reps).select(*keys, "_rep", *metrics.class_scores())
     q = ordered.exact_quantiles(scores, keys, metric, [0.025, 0.975], "_q")
     point = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts]).select(*keys, *metrics.class_scores())
     j = ordered.key_join(point.select(*keys, F.col(metric).alias("estimate")), q, keys)

@@ -92,7 +92,10 @@ def quantized(spark, sf, levels=LEVELS):
 
 
 def encoded(spark, sf, dim=DIM):
-    return quantized(spark, sf).withColumn("hv", hdc.encode(F.col("levels"), NAMES, LEVELS, SEED, dim))
+    q = quantized(spark, sf)
+    if dim > 1000:  # a long vector costs far more than moving its 64 levels, so small files are spread out first
+        q = q.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return q.withColumn("hv", hdc.encode(F.col("levels"), NAMES, LEVELS, SEED, dim))
 
 
 @query("h04_encode", f"WITH {ENCODE} SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY j) AS hv FROM hvs GROUP BY vec_id")

@@ -164,8 +164,7 @@ _NAME_METHOD = """CASE WHEN len(hits) = 0 THEN 'unclassified_filename' WHEN moda
 WITH src AS (SELECT doc_id, text FROM documents), c AS ({_name_class_sql('text')})
 SELECT doc_id, modality, {_NAME_METHOD} AS method FROM c""")
 def f07(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", names.classify_name(F.col("text")).alias("c"))
-    return d.select("doc_id", "c.modality", "c.method")
+    return table(spark, sf, "documents").select("doc_id", F.inline(F.array(names.classify_name(F.col("text")))))
 
 
 COLUMN_SETS = f"""sets AS (SELECT run_key, list_sort(list_distinct(list({_COLS_SQL}[k % {_N} + 1]))) AS cols
@@ -194,8 +193,7 @@ _COL_METHOD = """CASE WHEN len(hits) = 0 THEN 'unclassified_csv_columns' WHEN le
 WITH {SAMPLES}, {COLUMN_SETS}, c AS ({_col_class_sql()})
 SELECT run_key, modality, {_COL_METHOD} AS method FROM c""")
 def f08(spark, sf):
-    c = column_sets(spark, sf).select("run_key", names.classify_columns(F.col("cols")).alias("c"))
-    return c.select("run_key", "c.modality", "c.method")
+    return column_sets(spark, sf).select("run_key", F.inline(F.array(names.classify_columns(F.col("cols")))))
 
 
 _EVIDENCE_SQL = "list_sort(list_filter([" + ", ".join(
@@ -235,8 +233,7 @@ def f09(spark, sf):
     c = column_sets(spark, sf).select(
         "run_key", names.classify_name(fn).alias("by_name"), names.classify_columns(F.col("cols")).alias("by_cols")
     )
-    out = c.select("run_key", names.resolve_modality(F.col("by_name"), F.col("by_cols")).alias("m"))
-    return out.select("run_key", "m.modality", "m.method")
+    return c.select("run_key", F.inline(F.array(names.resolve_modality(F.col("by_name"), F.col("by_cols")))))
 
 
 @query("f10_skip_reason", f"""
