@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL twins: python check.py [--chunked] [sf_dir] [name-prefix ...]
+"""Compare registered queries with their SQL twins: python check.py [--chunked] [sf_dir] [--types] [name-prefix ...]
 
 --chunked forces the hot-key path (small chunks) on inputs that would otherwise use plain windows.
 """
@@ -14,6 +14,9 @@ from cohortloom.operators import ordered
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -45,7 +48,8 @@ def main():
         sys.argv.remove("--chunked")
         ordered.SMALL_INPUT_BYTES, ordered.ROWS_PER_CHUNK, ordered.QUANTILE_ROWS = -1, 40, 20
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    prefixes = sys.argv[2:]
+    types_only = "--types" in sys.argv
+    prefixes = [a for a in sys.argv[2:] if a != "--types"]
     spark = session.build("8")
     con = duckdb.connect()
     for t in TABLES:
@@ -57,13 +61,22 @@ def main():
         t0 = time.time()
         try:
             df = fn(spark, sf)
-            got = rows_of(df.columns, df.collect())
+            got = [] if types_only else rows_of(df.columns, df.collect())
         except Exception as e:
             print(f"FAIL  {name}: {str(e)[:700]}")
             bad.append(name)
             continue
         t1 = time.time()
         sql = plans.ORACLES.get(name)
+        if sql:
+            types = {c: TYPES.get(t, t) for c, t in df.dtypes}
+            theirs = {row[0]: row[1] for row in con.execute("DESCRIBE " + sql).fetchall()}
+            off = {c: (types.get(c), theirs.get(c)) for c in theirs if types.get(c) != theirs[c]}
+            if off:
+                print(f"TYPES {name}: {off}")
+                bad.append(name)
+        if types_only:
+            continue
         if not sql:
             print(f"rows  {name}: {len(got)} rows {t1 - t0:.1f}s")
             continue

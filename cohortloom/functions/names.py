@@ -98,6 +98,8 @@ def _hits(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
     for label, words in rules.items():
         any_word = F.lit(False)
         for w in words:
+            if any(o != w and o in w for o in words):
+                continue  # a shorter word of the same label already covers it
             any_word = any_word | text.contains(w)
         found.append(F.when(any_word, label))
     return F.array_compact(F.array(*found))

@@ -81,7 +81,8 @@ def _position(bounds: Column, value: Column, steps: int) -> Column:
         return F.when(F.coalesce(fits, F.lit(False)), nxt).otherwise(found)
 
     powers = F.array(*[F.lit(1 << s) for s in range(steps, -1, -1)])
-    return F.aggregate(powers, F.lit(0), probe)
+    first = steps - F.floor(F.log2(F.size(bounds))).cast("int") + 1  # start at the largest power within the array
+    return F.aggregate(F.slice(powers, first, steps + 1), F.lit(0), probe)
 
 
 def range_chunks(

@@ -8,7 +8,7 @@ from cohortloom.functions import vectors as hv
 from cohortloom.functions.numeric import argmax_low, margin_and_runner_up
 from cohortloom.operators import hdc, metrics, prep, tables
 
-from .inputs import FEATURES, PREDICTIONS, features, predictions, r, table, vectors
+from .inputs import FEATURES, PREDICTIONS, VECTORS, features, predictions, r, table, vectors
 from .registry import query
 
 SEED, DIM, LEVELS = 42, 64, 11
@@ -237,6 +237,18 @@ def h14(spark, sf):
     return hdc.apply_ridge(model, e, "hv", 256).select("vec_id", "target_score", "prediction", "prediction_bounded")
 
 
+# Two columns have a closed form: centre both, add the penalty to the diagonal, invert the 2 x 2 matrix.
+@query("h14_ridge_two_columns", f"""
+WITH {VECTORS}, d AS (SELECT vec_id, vec[1] / sqrt(2) AS a, vec[2] / sqrt(2) AS b, target_score AS y, {TRAIN} AS tr FROM vectors),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, regr_sxx(y, a) + 0.5 AS saa, regr_sxx(y, b) + 0.5 AS sbb, regr_sxy(b, a) AS sab, regr_sxy(y, a) AS say, regr_sxy(y, b) AS sby FROM d WHERE tr),
+w AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb FROM m)
+SELECT vec_id, round(my + wa * (a - ma) + wb * (b - mb), 5) AS prediction FROM d, w""")
+def h14_two(spark, sf):
+    v = vectors(spark, sf).withColumn("pair", F.slice("vec", 1, 2))
+    model = hdc.fit_ridge(v.where(TRAIN), "pair", "target_score", 0.5, 2)
+    return hdc.apply_ridge(model, v, "pair", 2).select("vec_id", r("prediction", 5).alias("prediction"))
+
+
 @query("h15_grid_search", f"""
 WITH {ENCODE}, {RANKED}, terms AS (SELECT l.vec_id, l.subject, l.target_class, i.j, rank, idv * v AS t FROM lev l JOIN ident i ON l.feature = i.feature JOIN book b ON b.level = l.level AND b.j = i.j JOIN ranked r ON r.feature = l.feature),
 ks AS (SELECT unnest([8, 32, 64]) AS k), sums AS (SELECT vec_id, any_value(subject) AS subject, any_value(target_class) AS y, k, j, sum(t) AS s FROM terms JOIN ks ON rank <= k GROUP BY vec_id, k, j),

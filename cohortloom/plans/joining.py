@@ -98,14 +98,14 @@ def _split(spark, sf):
 def j10(spark, sf):
     test, train = _split(spark, sf)
     n = joins.knn_join(test, train, "vec_id", "vec", "target_class", 5)
-    return n.select("vec_id", "nth", "neighbor", r("distance", 6).alias("distance"))
+    return n.select("vec_id", F.col("nth").cast("long").alias("nth"), "neighbor", r("distance", 6).alias("distance"))
 
 
 @query("j10_knn_neighbors_manhattan", f"WITH {_knn_sql(1, 3)} SELECT vec_id, nth, neighbor, round(distance, 6) AS distance FROM nn")
 def j10_p1(spark, sf):
     test, train = _split(spark, sf)
     n = joins.knn_join(test, train, "vec_id", "vec", "target_class", 3, p=1)
-    return n.select("vec_id", "nth", "neighbor", r("distance", 6).alias("distance"))
+    return n.select("vec_id", F.col("nth").cast("long").alias("nth"), "neighbor", r("distance", 6).alias("distance"))
 
 
 def _vote_sql(weight: str) -> str:

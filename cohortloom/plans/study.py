@@ -20,7 +20,7 @@ proto AS (SELECT outer_fold, feature, target_class AS label, avg(x) AS p FROM sc
 norms AS (SELECT outer_fold, label, sqrt(sum(p * p)) AS nrm FROM proto GROUP BY ALL),
 sc AS (SELECT s.outer_fold, s.vec_id, any_value(s.target_class) AS y_true, p.label, round(sum(x * p) / any_value(nrm), 9) AS s FROM scaled s
   JOIN proto p ON s.outer_fold = p.outer_fold AND s.feature = p.feature JOIN norms n ON n.outer_fold = p.outer_fold AND n.label = p.label WHERE s.fold = s.outer_fold GROUP BY s.outer_fold, s.vec_id, p.label),
-study AS (SELECT outer_fold, vec_id, any_value(y_true) AS y_true, first(label ORDER BY s DESC, label) AS y_pred FROM sc GROUP BY outer_fold, vec_id)"""
+study AS (SELECT CAST(outer_fold AS BIGINT) AS outer_fold, vec_id, any_value(y_true) AS y_true, first(label ORDER BY s DESC, label) AS y_pred FROM sc GROUP BY outer_fold, vec_id)"""
 
 
 def predictions(spark, sf):

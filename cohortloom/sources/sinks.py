@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from cohortloom.operators.audit import table_hash
 
 
-def write_table(df: DataFrame, path: str, sort: Sequence[str] = (), partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, sort: Sequence[str] = (), partition_by: Sequence[str] = (), mode: str = "overwrite", splits: int = 64) -> None:
     """Parquet with rows in a fixed order inside each file."""
     out = df
     if partition_by:
         # Rows of one partition value go to several tasks by a digest of the row, so a large value is not one task's work.
-        out = out.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        out = out.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(splits)))
     if sort:
         out = out.sortWithinPartitions(*partition_by, *sort) if partition_by else out.sort(*sort)
     writer = out.write.mode(mode)
