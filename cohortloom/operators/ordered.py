@@ -21,6 +21,9 @@ ROWS_PER_CHUNK = 4_000_000
 QUANTILE_ROWS = 500_000  # values of one key the built-in exact percentile may hold in a task
 POINTS_PER_CHUNK = 8  # sampled rows per chunk: a trillion-row key samples about two million
 SMALL_INPUT_BYTES = 32 << 20
+MIN_ROW_BYTES = 4  # stored bytes per row at the least, to bound the row count by the input size
+BOUND_BYTES = 40  # one bound: an order value and its tie-breaker
+BROADCAST_LIMIT = 256 << 20
 _ALL = "_all_rows"
 
 
@@ -34,6 +37,11 @@ def fits_one_task(df: DataFrame) -> bool:
     return input_bytes(df) <= SMALL_INPUT_BYTES
 
 
+def _bounds_fit(df: DataFrame, limit: int) -> bool:
+    """Can the chunk bounds be broadcast? They number one per ``limit`` rows, rows counted high."""
+    return input_bytes(df) / MIN_ROW_BYTES / limit * BOUND_BYTES <= BROADCAST_LIMIT
+
+
 def _plain(df: DataFrame, rows_per_chunk: int | None) -> bool:
     return rows_per_chunk is None and fits_one_task(df)
 
@@ -102,6 +110,8 @@ def range_chunks(
     chunk = F.when(F.col("_bounds").isNotNull(), _position(F.col("_bounds"), value, 22))
     if list(keys) == [_ALL]:  # one bounds array for the whole table: no join, so no shuffle on a constant key
         return df.withColumn("_bounds", bounds.select("_bounds").scalar()).withColumn("_chunk", chunk).drop("_bounds")
+    if _bounds_fit(df, limit):  # size checked; otherwise a shuffled join with adaptive skew splitting
+        bounds = F.broadcast(bounds)
     return df.join(bounds, list(keys), "left").withColumn("_chunk", chunk).drop("_bounds")
 
 
