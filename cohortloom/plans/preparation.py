@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import folds, prep
 
-from .inputs import FEATURES, SAMPLES, VECTORS, features, r, samples, vectors
+from .inputs import FEATURES, SAMPLES, features, r, samples, vectors
 from .registry import query
 
 LABELS = [0, 1, 2, 3]
