@@ -96,8 +96,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "
     asked_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     here = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks))
     theirs = F.pmod(F.xxhash64(F.lit("asked"), "vec_id"), F.lit(asked_blocks))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-    every_asked = F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).cast("long")
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    every_asked = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked_blocks - 1).cast("long")))
     left = rows.select("vec_id", "v", F.lit(False).alias("is_query"), here.alias("block"), every_asked.alias("asked"))
     right = asked.select("vec_id", "v", F.lit(True).alias("is_query"), every_block.alias("block"), theirs.alias("asked"))
     found = left.unionByName(right).withColumn("dims", F.size("v")).groupBy("block", "asked", "dims").applyInArrow(_scan_block(k), _SCHEMA)
