@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, language, licenses, quality, topk, toxicity
+from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, quality, topk, toxicity
 from cohortloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,39 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors)
+
+
+_JACCARD_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE
+    WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] FOR i IN range(1, len(ws) - 2)])
+  END AS shingles
+  FROM w
+), tok AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS t FROM s
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+  FROM tok a JOIN tok b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common WHERE 100 * c >= 85 * (nx + ny - c)
+), edge AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  WITH RECURSIVE r(a, b) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.a, e.y FROM r JOIN edge e ON r.b = e.x
+  ) SELECT a, min(b) AS least FROM r GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, reach.least AS component_id FROM s JOIN reach ON s.doc_id = reach.a
+"""
+
+
+@query("op10_ngram_jaccard_join", _JACCARD_SQL)
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
