@@ -10,14 +10,14 @@ documents are hashed at the (at most ``SPAN - 1``) lengths that occur.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom import session
 from cohortloom.llm.columns import let, lower_ascii, words
+from cohortloom.llm.components import settled
 
 SPAN = 13
-GRAM = 4
+GRAM = 4  # as ``four_gram_hashes`` makes them
 #: Rows of at most this many go to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _ROW = ["_id", "_digest"]
@@ -37,21 +37,20 @@ def word_hashes(ws: Column) -> Column:
 
 
 def gram_hashes(h: Column, n: int) -> Column:
-    """Hashes of n consecutive words, from the hashes of the words; n is 4, or is built up one word at a time."""
-    if n == GRAM:
-        return let(_pairs(h, 1, lambda a, b: F.xxhash64(a, b)), lambda h2: _pairs(h2, 2, lambda a, b: F.xxhash64(a, b)))
+    """Hashes of n consecutive words, from the hashes of the words."""
     if n == 1:
         return h
-    return let(gram_hashes(h, n - 1) if n - 1 != GRAM else _one_by_one(h, n - 1), lambda g: _tail_joined(g, h, n))
 
+    def one_more(g: Column) -> Column:
+        count = F.greatest(F.size(h) - (n - 1), F.lit(0))
+        return F.zip_with(F.slice(g, F.lit(1), count), F.slice(h, F.lit(n), count), lambda a, b: F.xxhash64(a, b))
 
-def _one_by_one(h: Column, n: int) -> Column:
-    return h if n == 1 else let(_one_by_one(h, n - 1), lambda g: _tail_joined(g, h, n))
+    return let(gram_hashes(h, n - 1), one_more)
 
 
-def _tail_joined(g: Column, h: Column, n: int) -> Column:
-    count = F.greatest(F.size(h) - (n - 1), F.lit(0))
-    return F.zip_with(F.slice(g, F.lit(1), count), F.slice(h, F.lit(n), count), lambda a, b: F.xxhash64(a, b))
+def four_gram_hashes(h: Column) -> Column:
+    """Hashes of four consecutive words: pairs of pairs."""
+    return let(_pairs(h, 1, lambda a, b: F.xxhash64(a, b)), lambda pairs: _pairs(pairs, 2, lambda a, b: F.xxhash64(a, b)))
 
 
 def _smaller(a: Column, b: Column) -> Column:
@@ -61,7 +60,7 @@ def _smaller(a: Column, b: Column) -> Column:
 def fingerprints(h: Column) -> Column:
     """The smallest of ten consecutive hashes of four words, one for each span of 13 words, in order."""
     return let(
-        gram_hashes(h, GRAM),
+        four_gram_hashes(h),
         lambda g: let(
             _pairs(g, 1, _smaller),
             lambda m2: let(_pairs(m2, 2, _smaller), lambda m4: let(_pairs(m4, 4, _smaller), lambda m8: _pairs(m8, 2, _smaller))),
@@ -78,7 +77,7 @@ def marks_of(ws: Column, short_sizes: list[int]) -> Column:
 
     def of_hashes(h: Column) -> Column:
         kinds = [_sized(F.array_distinct(fingerprints(h)), SPAN)]
-        kinds += [_sized(F.array_distinct(_one_by_one(h, n)), n) for n in short_sizes]
+        kinds += [_sized(F.array_distinct(gram_hashes(h, n)), n) for n in short_sizes]
         return kinds[0] if len(kinds) == 1 else F.concat(*kinds)
 
     return let(word_hashes(ws), of_hashes)
@@ -97,20 +96,20 @@ def spans_of(ws: Column, short_sizes: list[int], exact_size: bool) -> Column:
     def of_hashes(h: Column) -> Column:
         kinds = [listed(fingerprints(h), SPAN)]
         for n in short_sizes:
-            own = listed(_one_by_one(h, n), n)
+            own = listed(gram_hashes(h, n), n)
             kinds.append(F.when(F.size(ws) == n, own).otherwise(F.slice(own, 1, 0)) if exact_size else own)
         return F.concat(*kinds)
 
     return let(word_hashes(ws), of_hashes)
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _digest() -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64("text", F.length("text"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("_digest")
 
 
-def _settled(df: DataFrame, spark: SparkSession) -> DataFrame:
-    session.checkpoint_dir(spark)
-    return df.checkpoint()
+def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
@@ -121,21 +120,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     text has no words. Benchmark rows without words are never hit; a null item id makes hits but is not listed. Columns
     other than id and text are ignored on both sides.
     """
-    spark = documents.sparkSession
     text = F.col("text")
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(lower_ascii(text)).alias("ws")).where(F.size("ws") > 0)
     lengths = items.where(F.size("ws") < SPAN).select(F.size("ws").alias("n")).distinct()
     short_sizes = sorted(r.n for r in lengths.collect())  # SPAN - 1 numbers at most
     item_spans = items.select("item", F.explode(spans_of(F.col("ws"), short_sizes, True)).alias("s")).select("item", "s.size", "s.mark", "s.span").distinct()
-    item_spans = _settled(item_spans, spark)
+    item_spans = settled(item_spans)
     n_spans = item_spans.count()
 
-    docs = documents.select(F.col(id_col).alias("_id"), F.xxhash64("text", F.length("text"), F.crc32(F.coalesce(text, F.lit("")).cast("binary"))).alias("_digest"), "text")
+    docs = documents.select(F.col(id_col).alias("_id"), _digest(), "text")
     marked = docs.select(*_ROW, words(text).alias("ws")).select(*_ROW, F.size("ws").cast("long").alias("n_words"), marks_of(F.col("ws"), short_sizes).alias("marks"))
     known = _maybe_broadcast(item_spans.select("size", "mark").distinct().withColumn("known", F.lit(True)), n_spans)
     exploded = marked.select(*_ROW, "n_words", F.explode_outer("marks").alias("m")).select(*_ROW, "n_words", "m.size", "m.mark")
     checked = exploded.join(known, ["size", "mark"], "left").groupBy(*_ROW, "n_words").agg(F.max("known").alias("shared"))
-    checked = _settled(checked, spark)
+    checked = settled(checked)
 
     shared = checked.where("shared").select(*_ROW)
     n_shared = shared.count()
@@ -143,7 +141,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     suspects = docs.join(_maybe_broadcast(shared, n_shared), same_row, "left_semi").select(*_ROW, words(lower_ascii(text)).alias("ws"))
     doc_spans = suspects.select(*_ROW, F.explode(spans_of(F.col("ws"), short_sizes, False)).alias("s")).select(*_ROW, "s.*")
     distinct_spans = _maybe_broadcast(item_spans.select("size", "mark", "span").distinct(), n_spans)
-    hits = _settled(doc_spans.join(distinct_spans, ["size", "mark", "span"]).select(*_ROW, "size", "start", "mark", "span").distinct(), spark)
+    hits = settled(doc_spans.join(distinct_spans, ["size", "mark", "span"]).select(*_ROW, "size", "start", "mark", "span").distinct())
 
     by_start = Window.partitionBy(*_ROW).orderBy("start", "size")
     reach = F.coalesce(F.max(F.col("start") + F.col("size")).over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -175,7 +173,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") ->
     Contaminated (id, text digest) rows are few or many; they are broadcast only up to ``BROADCAST_ROWS``.
     """
     found = contamination(documents, benchmark, id_col).where(contaminated()).select(F.col(id_col).alias("_id"), "_digest")
-    found = _settled(found, documents.sparkSession)
-    digest = F.xxhash64("text", F.length("text"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    found = settled(found)
     out = _maybe_broadcast(found, found.count())
-    return documents.join(out, documents[id_col].eqNullSafe(out["_id"]) & (digest == out["_digest"]), "left_anti")
+    return documents.join(out, documents[id_col].eqNullSafe(out["_id"]) & (_digest() == out["_digest"]), "left_anti")

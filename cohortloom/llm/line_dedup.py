@@ -7,46 +7,40 @@ length they had in the original text recorded.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom import session
-from cohortloom.llm.columns import let, lower_ascii
+from cohortloom.llm.columns import lower_ascii
+from cohortloom.llm.components import settled
 
 #: A separator that ends a unit: a line feed, or an empty line for paragraphs.
 LINE, PARAGRAPH = "\n", "\n\n"
+_CUT_TYPE = pa.struct([("kept", pa.string()), ("removed", pa.list_(pa.struct([("number", pa.int32()), ("first", pa.int32()), ("length", pa.int32())])))])
 
 
 def normal_form(unit: Column) -> Column:
     return F.trim(F.regexp_replace(lower_ascii(unit), r"[\x09-\x0D\x20]+", " "))
 
 
-def units_of(text: Column, separator: str) -> Column:
-    """(number, first, unit) structs of a text's units; ``first`` is the offset in characters."""
-    cut = F.split(text, separator)
+def without(separator: str):
+    """(kept, removed) of a text and the numbers of its units that go."""
 
-    def placed(units: Column) -> Column:
-        sizes = F.transform(units, lambda u: F.length(u) + len(separator))
-        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("firsts"))
-        return F.transform(units, lambda u, i: F.struct(i.alias("number"), u.alias("unit"), sizes[i].alias("size"), start["sum"].alias("first")))
+    @F.arrow_udf("kept string, removed array<struct<number:int,first:int,length:int>>")
+    def cut(texts: pa.Array, gone_units: pa.Array) -> pa.Array:
+        out = []
+        for text, gone in zip(texts.to_pylist(), gone_units.to_pylist()):
+            first, kept, removed, gone = 0, [], [], set(gone or ())
+            for number, unit in enumerate((text or "").split(separator)):
+                if number in gone:
+                    removed.append({"number": number, "first": first, "length": len(unit)})
+                else:
+                    kept.append(unit)
+                first += len(unit) + len(separator)
+            out.append({"kept": separator.join(kept), "removed": removed})
+        return pa.array(out, _CUT_TYPE)
 
-    return let(cut, placed)
-
-
-def duplicate_units(documents: DataFrame, id_col: str = "doc_id", separator: str = LINE) -> DataFrame:
-    """Every unit that an earlier equal one makes redundant: _id, _digest (of the whole text), number.
-
-    Rows that repeat both id and text are one document. Only digests move: each task first keeps the smallest place of
-    each digest, so a line that stands in a third of all texts reaches a reducer once per task.
-    """
-    docs = documents.select(F.col(id_col).alias("_id"), text_digest("text").alias("_digest"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_id", "_digest"])
-    units = docs.select("_id", "_digest", F.posexplode(F.split("text", separator)).alias("number", "unit"))
-    units = units.select("_id", "_digest", "number", normal_form(F.col("unit")).alias("form")).where("form <> ''")
-    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("_digest"), F.col("number"))
-    hashed = units.select(F.sha2(F.col("form").cast("binary"), 256).alias("unit_digest"), place.alias("place"))
-    first = hashed.groupBy("unit_digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("unit_digest", "first")
-    later = hashed.join(first, "unit_digest").where(F.col("place") != F.col("first"))
-    return later.select("place._id", "place._digest", "place.number")
+    return cut
 
 
 def text_digest(text: str) -> Column:
@@ -54,15 +48,25 @@ def text_digest(text: str) -> Column:
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", separator: str = LINE) -> DataFrame:
-    """One row per distinct (id, text): id, text, kept (the text without its redundant units, joined by the separator),
-    n_units, removed (structs of number, first and length in characters of the original text, in order).
+    """One row per input row: id, text, n_units, kept (the text without its redundant units, joined by the
+    separator), removed (structs of number, first and length in characters of the original text, in order).
 
-    A null text counts as empty: one empty unit, which stays. Null ids come last in the order of places. Columns other
-    than id and text are ignored.
+    Rows that repeat both id and text are one document and come back as often as they stand there. A null text counts as empty: one empty unit, which stays. Null
+    ids come last in the order of places. Columns other than id and text are ignored. Only digests are grouped, and
+    counts and first places are combined before the shuffle, so a line of a third of all texts is no hot group.
     """
-    session.checkpoint_dir(documents.sparkSession)
-    gone = duplicate_units(documents, id_col, separator).groupBy("_id", "_digest").agg(F.array_sort(F.collect_set("number")).alias("gone"))
+    docs = documents.select(F.col(id_col).alias("_id"), text_digest("text").alias("_digest"), F.coalesce("text", F.lit("")).alias("text"))
+    units = docs.select("_id", "_digest", F.posexplode(F.split("text", separator)).alias("number", "unit"))
+    units = units.select("_id", "_digest", "number", normal_form(F.col("unit")).alias("form"))
+    place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_digest", "number")
+    # an empty form is a digest of its own for each unit: it has no equal, and it isn't a hot one
+    digest = F.when(F.col("form") == "", F.lit(None)).otherwise(F.sha2(F.col("form").cast("binary"), 256))
+    hashed = settled(units.select(digest.alias("unit_digest"), place.alias("place")))
+    first = hashed.where("unit_digest IS NOT NULL").groupBy("unit_digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    repeated = first.where(F.col("first") != F.col("last")).select("unit_digest", "first")
+    later = hashed.join(repeated, "unit_digest").where(F.col("place") != F.col("first")).select("place.*").distinct()
+    gone = later.groupBy("_id", "_digest").agg(F.collect_list("number").alias("gone"))
     gone = gone.withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
-    docs = documents.select(F.col(id_col).alias("_id"), text_digest("text").alias("_digest"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_id", "_digest"])
     joined = docs.join(gone, docs["_id"].eqNullSafe(gone["_id2"]) & (docs["_digest"] == gone["_digest2"]), "left")
-    return joined
+    cut = joined.select("_id", "text", "gone", without(separator)("text", "gone").alias("c"))
+    return cut.select(F.col("_id").alias(id_col), "text", F.size(F.split("text", separator)).cast("long").alias("n_units"), "c.kept", "c.removed")

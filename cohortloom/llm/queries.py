@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, quality, topk, toxicity
+from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, topk, toxicity
 from cohortloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,6 +27,45 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents", "doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+_CONTAMINATION_SQL = """
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM benchmark
+), spans AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS size, unnest([array_to_string(ws[i : i + least(13, len(ws)) - 1], ' ') FOR i IN range(1, len(ws) - least(13, len(ws)) + 2)]) AS span
+  FROM iw WHERE len(ws) > 0
+), sizes AS (SELECT DISTINCT size FROM spans
+), ds AS (
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS p, unnest([array_to_string(ws[i : i + size - 1], ' ') FOR i IN range(1, len(ws) - size + 2)]) AS span
+  FROM dw, sizes WHERE len(ws) >= size
+), hits AS (SELECT ds.doc_id, ds.p, ds.size, spans.item_id FROM ds JOIN spans ON ds.size = spans.size AND ds.span = spans.span
+), words AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS w FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT dw.doc_id, CAST(len(dw.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.ws) AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op2_decontamination", _CONTAMINATION_SQL)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
 @query("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -59,6 +98,33 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+_LINES_SQL = """
+WITH units AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents
+), formed AS (
+  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS form FROM units
+), ranked AS (
+  SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, number) > 1 AS gone FROM formed
+)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(length(unit)) FILTER (gone), 0) AS BIGINT) AS n_removed_chars,
+  sha256(coalesce(string_agg(unit, chr(10) ORDER BY number) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
+@query("op7_substring_dedup", _LINES_SQL)
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    removed_chars = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["length"])
+    return cut.select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        removed_chars.alias("n_removed_chars"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
