@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, topk, toxicity
+from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, suffix_dedup, topk, toxicity
 from cohortloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -93,6 +93,44 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_REPEATS_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, md5(substring(h, CAST(2 * p + 1 AS BIGINT), 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p FROM d)
+), dup AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), marked AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM dup)
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM marked GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(b), 0), len(any_value(h)) // 2 FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(substring(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS k FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id
+), n AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op5_suffix_array_dedup", _REPEATS_SQL)
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["length"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
