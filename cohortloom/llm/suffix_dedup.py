@@ -28,8 +28,8 @@ from cohortloom.llm.suffix_array import common_prefixes, suffix_array
 WINDOW = pieces.WINDOW
 #: Bytes of text of one buffer of a task, pieces of one part, bytes of the pieces of one shard.
 BUFFER_BYTES = 24 << 20
-PART_PIECES = 600_000
-SHARD_BYTES = 3 << 20
+PART_PIECES = 400_000
+SHARD_BYTES = 1 << 20
 _KEY = ["no_id", "id", "digest"]
 _DEALT = "part long, no_ids binary, ids binary, digests binary, counts binary, starts binary, windows binary, anchors binary, contents binary"
 _SPANS = "no_id boolean, id long, digest long, start int, length int, anchor long"
@@ -167,7 +167,8 @@ def _settle_part(parts: int):
 def _window_hashes(data: np.ndarray) -> np.ndarray:
     h, power, size, kept = textbytes.BYTE_CODES[data], int(textbytes.BASE), 1, {}
     while size <= 64:
-        kept[size] = (h, power)
+        if size in (4, 32, 64):
+            kept[size] = (h, power)
         h, power, size = h[:-size] * np.uint64(power) + h[size:], power * power & 0xFFFFFFFFFFFFFFFF, size * 2
     n = len(data) - WINDOW + 1
     return (kept[64][0][:n] * np.uint64(kept[32][1]) + kept[32][0][64 : 64 + n]) * np.uint64(kept[4][1]) + kept[4][0][96 : 96 + n]

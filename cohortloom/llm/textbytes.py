@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _MIX = np.random.default_rng(20240917)
 #: A random odd 64-bit value for each byte, and the odd base of the polynomial word hash.
