@@ -38,8 +38,8 @@ PERCENT = 85
 HUBS = (2, 16)
 #: Sets of one buffer that make a token frequent, and the tokens of a buffer and of a part.
 FREQUENT = 64
-BUFFER_TOKENS = 2_000_000
-PART_TOKENS = 2_000_000
+BUFFER_TOKENS = 1_000_000
+PART_TOKENS = 1_500_000
 
 _SPACE_CUT = textbytes.runs_of("nonspace")
 _TOKEN_BITS = 48
@@ -162,6 +162,7 @@ def _dealt(parts: int):
                         keys, tokens, held, met = [], [], 0, set()
         if held:
             yield from emit(keys, tokens)
+        textbytes.give_back()
 
     return deal
 
@@ -190,6 +191,7 @@ def _shared_tokens(parts: int):
             times = np.diff(np.r_[head, len(token)])
             rank = np.repeat(np.minimum(times, _LAST_CLASS - 1), times).astype(np.uint64)
             rank[np.isin(token, np.concatenate(often))] = _LAST_CLASS
+        textbytes.give_back()
         several = rank >= 2
         key, value = key[several], (rank[several] << np.uint64(_TOKEN_BITS) | token[several]).view(np.int64)
         order = np.argsort(key, kind="stable")

@@ -27,7 +27,7 @@ from cohortloom.llm.suffix_array import common_prefixes, suffix_array
 
 WINDOW = pieces.WINDOW
 #: Bytes of text of one buffer of a task, pieces of one part, bytes of the pieces of one shard.
-BUFFER_BYTES = 24 << 20
+BUFFER_BYTES = 8 << 20
 PART_PIECES = 400_000
 SHARD_BYTES = 1 << 20
 _KEY = ["no_id", "id", "digest"]
@@ -118,8 +118,8 @@ def _deal(parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 13):
-                some = batch.slice(at, 1 << 13)
+            for at in range(0, batch.num_rows, 1 << 11):
+                some = batch.slice(at, 1 << 11)
                 held.append(some)
                 size += some["text"].nbytes
                 if size >= BUFFER_BYTES:
@@ -127,6 +127,7 @@ def _deal(parts: int):
                     held, size = [], 0
         if held:
             yield from (b for b in emit(pa.Table.from_batches(held)) if b is not None)
+        textbytes.give_back()
 
     return deal
 
@@ -148,6 +149,7 @@ def _settle_part(parts: int):
                 "length": pa.array(length.astype(np.int32)), "anchor": pa.nulls(len(at), pa.int64()) if anchor is None else pa.array(anchor.view(np.int64)),
             })
 
+        textbytes.give_back()
         if table["part"][0].as_py() >= parts:
             return rows(np.arange(len(start)), windows, None)
         anchor = np.concatenate([_of_six(x) for x in table["anchors"].to_pylist()])
@@ -234,6 +236,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
             spans.append((owner[k][0], owner[k][1] + p, WINDOW))
     rows, places, sizes = (np.array(x, np.int64) for x in zip(*spans)) if spans else (_EMPTY, _EMPTY, _EMPTY)
     rows, places, sizes = _merged(rows, places, sizes)
+    textbytes.give_back()
     return pa.table({
         "no_id": table["no_id"].take(pa.array(rows)), "id": table["id"].take(pa.array(rows)), "digest": table["digest"].take(pa.array(rows)),
         "start": pa.array((start[rows] + places).astype(np.int32)), "length": pa.array(sizes.astype(np.int32)), "anchor": pa.nulls(len(rows), pa.int64()),
@@ -245,7 +248,10 @@ def _extract(texts: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
     for text, begin, size in zip(texts, starts.to_pylist(), lengths.to_pylist()):
         raw = text.as_buffer().to_pybytes()
         out.append([raw[a : a + n] for a, n in zip(begin, size)])
-    return pa.array(out, pa.list_(pa.binary()))
+    pieces_of = pa.array(out, pa.list_(pa.binary()))
+    del out
+    textbytes.give_back()
+    return pieces_of
 
 
 def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -264,6 +270,7 @@ def _cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
         parts.append(raw[at:])
         kept.append(b"".join(parts))
         removed.append(merged)
+    textbytes.give_back()
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, spans_type)], names=["kept", "removed"])
 
