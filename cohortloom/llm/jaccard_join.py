@@ -41,6 +41,9 @@ FREQUENT = 64
 BUFFER_TOKENS = 1_000_000
 PART_TOKENS = 1_500_000
 
+#: Ids of at most this many documents go to every executor.
+BROADCAST_ROWS = 500_000
+
 _SPACE_CUT = textbytes.runs_of("nonspace")
 _TOKEN_BITS = 48
 _TOKEN = (1 << _TOKEN_BITS) - 1
@@ -297,3 +300,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     least = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least")).withColumnRenamed("class", "class2")
     named = classed.join(least, classed["class"] == least["class2"], "left")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``documents`` whose id is the smallest of its component; rows that share an id are one document.
+
+    An id with several texts stays if one of them does, and rows without an id stay. The ids that go are broadcast up to
+    ``BROADCAST_ROWS``, and joined by a shuffle beyond.
+    """
+    found = near_duplicates(documents, id_col)
+    gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min((F.col(id_col) != F.col("component_id")).cast("int")).alias("gone"))
+    gone = settled(gone.where("gone = 1").select(id_col))
+    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, id_col, "left_anti").select(documents.columns)

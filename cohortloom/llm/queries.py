@@ -124,7 +124,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select(
         "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["length"]).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),

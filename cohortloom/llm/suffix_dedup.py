@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm import pieces, textbytes
@@ -293,17 +293,30 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return whole.unionByName(sorted_out).drop("anchor")
 
 
+def _whole_characters(kept: pa.Array) -> pa.Array:
+    return pa.array([x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in kept], pa.string())
+
+
+def as_text(kept: Column | str) -> Column:
+    """Remaining bytes as text; what is left of a character that a cut went through goes too."""
+    return F.arrow_udf(_whole_characters, "string")(kept)
+
+
 def dedup(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: id, text, kept (the remaining bytes) and removed (the maximal removed runs, in bytes).
+    """``documents`` with kept (the remaining bytes) and removed (the maximal removed runs, in bytes), one row per input row.
 
     Ids are whole numbers; a null id comes after all others. Rows that repeat both id and text are one document, and come
     back as often as they stand there; different texts of one id are ordered by a digest. A null text is an empty one.
-    Texts of fewer than 100 bytes lose nothing. Other columns are ignored.
+    Texts of fewer than 100 bytes lose nothing. Columns of the input named kept or removed are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.xxhash64(text, F.octet_length(text))
-    docs = documents.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), digest.alias("digest"), text.alias("text"))
-    spans = repeated_spans(docs).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    own = documents.drop("kept", "removed")
+    keyed = own.withColumns({
+        "_no_id": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_digest": F.xxhash64(text, F.octet_length(text)),
+    })
+    key = [F.col(f"_{c}").alias(c) for c in _KEY]
+    spans = repeated_spans(keyed.select(*key, text.alias("text")))
+    spans = spans.groupBy(*[F.col(c).alias(f"_{c}") for c in _KEY]).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
     cut = F.arrow_udf(_cut_out, "kept binary, removed array<struct<start:int,length:int>>")
-    out = docs.join(spans, _KEY, "left").select("no_id", "id", "text", cut("text", "spans").alias("c"))
-    return out.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), "text", "c.kept", "c.removed")
+    out = keyed.join(spans, [f"_{c}" for c in _KEY], "left").withColumn("_cut", cut(text, F.col("_spans")))
+    return out.select(*own.columns, "_cut.kept", "_cut.removed")
