@@ -197,11 +197,7 @@ def _shared_tokens(parts: int):
         textbytes.give_back()
         several = rank >= 2
         key, value = key[several], (rank[several] << np.uint64(_TOKEN_BITS) | token[several]).view(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, value = key[order], value[order]
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(key)], pa.int32()), pa.array(value))
-        return pa.table({"key": pa.array(key[cut], pa.int64()), "tokens": lists})
+        return pa.table({"key": pa.array(key, pa.int64()), "token": pa.array(value, pa.int64())})
 
     return shared
 
@@ -221,8 +217,8 @@ def set_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     total = sets.agg(F.sum("n").alias("n")).first().n or 0
     parts = max(1, -(-total // PART_TOKENS))
     dealt = texts.mapInArrow(_dealt(parts), "part long, flagged boolean, keys binary, counts binary, tokens binary")
-    shared = dealt.groupBy("part").applyInArrow(_shared_tokens(parts), "key long, tokens array<long>")
-    by_set = shared.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    shared = dealt.groupBy("part").applyInArrow(_shared_tokens(parts), "key long, token long")
+    by_set = shared.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     sizes = sets.where("n > 0").groupBy("key").agg(F.max("n").cast("int").alias("n"))
     n, own = F.col("n"), F.col("n") - F.size("tokens")
     alive = by_set.where(F.size("tokens") > 0).join(sizes, "key").where(F.size("tokens") >= _least_share(n))
