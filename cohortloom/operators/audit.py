@@ -290,8 +290,8 @@ def gate_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def assert_gates(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """The same report, but the plan fails when any rule does."""
     report = gate_report(df, rules)
-    verdict = F.when(F.col("passed"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gate failed: "), F.col("gate"))).cast("boolean"))
-    return report.select("gate", verdict.alias("passed"))
+    fail = F.raise_error(F.concat(F.lit("gate failed: "), F.col("gate"))).cast("boolean")
+    return report.where(F.when(F.col("passed"), F.lit(True)).otherwise(fail))
 
 
 def metric_recheck(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], metrics: Sequence[str], tolerance: float) -> DataFrame:

@@ -102,12 +102,19 @@ def merge_prototypes(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def model_arrays(protos: DataFrame, key: str | None) -> dict:
-    """Prototypes as numpy arrays per key: keys x classes x D numbers, bounded by the split design."""
+    """Prototypes as numpy arrays per key: keys x classes x D numbers, bounded by the split design.
+
+    Row c of an array is class c, so every key must have all classes from 0 on; an absent one is refused.
+    """
     model: dict = {}
     for row in protos.select(*([key] if key else []), "label", "prototype").collect():
         k = row[key] if key else None
         model.setdefault(k, {})[row["label"]] = np.array(row["prototype"])
-    return {k: np.stack([v[c] for c in sorted(v)]) for k, v in model.items()}
+    labels = list(range(max((c for v in model.values() for c in v), default=-1) + 1))
+    for k, v in model.items():
+        if sorted(v) != labels:
+            raise ValueError(f"classes {sorted(set(labels) - set(v))} have no prototype" + ("" if k is None else f" in {key} {k}"))
+    return {k: np.stack([v[c] for c in labels]) for k, v in model.items()}
 
 
 def cosine_scores(vec: Column, key: Column, model: Mapping, per_class: int = 1) -> Column:

@@ -17,8 +17,8 @@ def _unique(df: DataFrame, on: Sequence[str], side: str) -> DataFrame:
     rest = [c for c in df.columns if c not in on]
     packed = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(0).alias("_z"), *rest)).alias("_row"))
     fail = F.raise_error(F.concat(F.lit(f"duplicate key on {side} side: "), F.to_json(F.struct(*on))))
-    row = F.when(F.col("_n") == 1, F.col("_row")).otherwise(fail.cast(packed.schema["_row"].dataType))
-    checked = packed.select(*on, row.alias("_row"))
+    # in a filter, as a check in an output column goes with the column when nobody asks for it
+    checked = packed.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(fail.cast("boolean")))
     return checked.select(*on, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
@@ -73,9 +73,9 @@ def paired(df: DataFrame, unit: Sequence[str], condition: str, left: str, right:
         F.max(F.when(is_l, F.col(value))).alias("_l"), F.max(F.when(is_r, F.col(value))).alias("_r"),
     )
     single = (F.col("_nl") <= 1) & (F.col("_nr") <= 1)
-    kind = df.schema[value].dataType
-    checked = F.when(single, F.col("_l")).otherwise(F.raise_error(F.lit("repeated unit in a paired comparison")).cast(kind))
-    return g.where((F.col("_nl") > 0) & (F.col("_nr") > 0)).select(*unit, checked.alias("left_value"), F.col("_r").alias("right_value"))
+    checked = F.when(single, F.lit(True)).otherwise(F.raise_error(F.lit("repeated unit in a paired comparison")).cast("boolean"))
+    both = g.where(checked).where((F.col("_nl") > 0) & (F.col("_nr") > 0))
+    return both.select(*unit, F.col("_l").alias("left_value"), F.col("_r").alias("right_value"))
 
 
 def asof_align(

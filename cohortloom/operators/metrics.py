@@ -163,7 +163,8 @@ def canonicalize(pred: DataFrame, keys: Sequence[str], seeds: Sequence[int], kee
         F.round(F.avg("y_pred_raw"), 9).alias("_raw"),
     )
     exact = (F.col("_seeds") == (1 << len(seeds)) - 1) & (F.col("_n") == len(seeds))
-    raw = F.when(exact, F.col("_raw")).otherwise(F.raise_error(F.lit("a run does not hold exactly the expected seeds")).cast("double"))
+    g = g.where(F.when(exact, F.lit(True)).otherwise(F.raise_error(F.lit("a run does not hold exactly the expected seeds")).cast("boolean")))
+    raw = F.col("_raw")
     scores = F.array(*[F.col(f"_s{k}") for k in labels])
     return g.select(
         *keys, *keep, scores.alias("scores"), argmax_low(scores).alias("y_pred"), F.array_max(scores).alias("confidence"),

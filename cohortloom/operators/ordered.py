@@ -211,12 +211,12 @@ def row_numbers(
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, rows_per_chunk=rows_per_chunk)
 
 
-def order_key(t: str, tie: str, scale: float = 1e6) -> Column:
+def order_key(t: str, tie: str, scale: float = 1e9) -> Column:
     """Time and tie-breaker as one decimal, for ``min_by`` / ``max_by`` over raw rows.
 
     A struct would do, but its aggregation buffer cannot be updated in place, so Spark would sort
     every raw row before the first aggregation; a decimal keeps it a hash aggregation. Times are
-    kept to 1 / ``scale``.
+    kept to 1 / ``scale``: a nanosecond for seconds, 0.1 ms for days.
     """
     whole = F.round(F.col(t) * scale).cast("decimal(19,0)")
     return (whole * F.lit("10000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(tie).cast("decimal(19,0)")

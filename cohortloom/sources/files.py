@@ -30,9 +30,12 @@ def inventory_summary(inv: DataFrame, by: str, size: str, top: int = 15) -> Data
 
 
 def read_stream_files(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str]) -> DataFrame:
-    """CSV rows as text columns with their path; a row that does not fit keeps its text in ``_corrupt``."""
+    """CSV rows as text columns with their path; a row that does not fit keeps its text in ``_corrupt``.
+
+    A file whose header has other names, or the same ones in another order, fails the read.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("recursiveFileLookup", "true")
     rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(paths)
     return rows.select("*", F.col("_metadata.file_path").alias("path"))
 

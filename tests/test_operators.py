@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cohortloom.operators import audit, folds, hdc, joins, metrics, models, prep, signal, stats, tables
+from cohortloom.operators import audit, folds, hdc, joins, metrics, models, ordered, prep, signal, stats, tables
 from cohortloom.sources import sinks
 
 
@@ -397,3 +397,46 @@ def test_schedule_variance_kinds(spark):
     rows = [("s", l, r) for l, r in audit.EXPECTED_SCHEDULE if r not in ("001", "002")] + [("s", "04B", "001"), ("s", "09B", "099")]
     got = {(r.level, r.run, r.status) for r in audit.schedule_variance(spark.createDataFrame(rows, "s string, l string, r string"), "s", "l", "r").collect()}
     assert got == {("01B", "001", "schedule_mapping_hole"), ("03B", "002", "physically_absent_run"), ("04B", "001", "unexpected"), ("09B", "099", "unexpected")}
+
+
+def test_checks_hold_when_their_columns_are_not_asked_for(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k int, x string")
+    once = spark.createDataFrame([(1, "c")], "k int, y string")
+    for ask in (lambda df: df.select("y").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="duplicate key"):
+            ask(joins.join_validated(once, twice, ["k"], "one_to_one"))
+    pairs = spark.createDataFrame([(1, "l", 1.0), (1, "l", 2.0), (1, "r", 3.0)], "u int, c string, v double")
+    for ask in (lambda df: df.select("right_value").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="repeated unit"):
+            ask(joins.paired(pairs, ["u"], "c", "l", "r", "v"))
+    seeds = spark.createDataFrame(*seed_rows([42, 42, 99]))
+    for ask in (lambda df: df.select("y_pred").collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="expected seeds"):
+            ask(metrics.canonicalize(seeds, ["run"], [42, 43]))
+    with pytest.raises(Exception, match="gate failed"):
+        audit.assert_gates(once, {"none": F.count(F.lit(1)) == 0}).count()
+
+
+def test_absent_class_is_refused(spark):
+    protos = spark.createDataFrame([(0, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "label int, prototype array<double>")
+    with pytest.raises(ValueError, match="no prototype"):
+        hdc.model_arrays(protos, None)
+
+
+def test_first_and_last_sample_of_day_numbers(spark):
+    day = 738000.5
+    rows = [("s", day + 4e-8, 1, 5.0), ("s", day, 2, 3.0), ("s", day + 9e-8, 0, 7.0)]
+    df = spark.createDataFrame(rows, "k string, t double, row_id long, v double")
+    key = ordered.order_key("t", "row_id")
+    first, last = df.agg(F.min_by("v", key), F.max_by("v", key)).first()
+    assert (first, last) == (3.0, 7.0)
+
+
+def test_swapped_csv_header_fails(spark, tmp_path):
+    from cohortloom.sources import files
+
+    (tmp_path / "a.csv").write_text("t,ecg,eda\n1,2,3\n")
+    assert files.read_stream_files(spark, str(tmp_path), ["t", "ecg", "eda"]).first().eda == "3"
+    (tmp_path / "b.csv").write_text("t,eda,ecg\n1,2,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_stream_files(spark, str(tmp_path), ["t", "ecg", "eda"]).collect()
