@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm import textbytes
+
 #: Characters of known pieces, with ten more for each piece; about 60 MB of a worker's memory for each million.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 5_000_000
 #: Two ids, or a rank and an id, are packed in one number.
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -139,6 +141,7 @@ def encode_texts(texts: pa.Array, path: str) -> pa.Array:
     v = vocabulary(path)
     ids = [v.encode(text.as_py()) if text.is_valid else b"" for text in texts]
     ends = np.cumsum([0, *map(len, ids)]) // 4
+    textbytes.give_back()
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 

@@ -38,7 +38,7 @@ PERCENT = 85
 HUBS = (2, 16)
 #: Sets of one buffer that make a token frequent, and the tokens of a buffer and of a part.
 FREQUENT = 64
-BUFFER_TOKENS = 1_000_000
+BUFFER_TOKENS = 800_000
 PART_TOKENS = 1_500_000
 
 #: Ids of at most this many documents go to every executor.
@@ -98,6 +98,7 @@ def _sizes(texts: pa.Array) -> pa.Array:
     for first, count, packed in shingle_sets(texts):
         size, keys, _ = _set_keys(packed, count)
         n[first : first + count], key[first : first + count] = size, keys
+    textbytes.give_back()
     return pa.StructArray.from_arrays([pa.array(n), pa.array(key, mask=n == 0)], names=["n", "key"])
 
 

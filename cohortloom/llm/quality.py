@@ -88,6 +88,8 @@ def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
             n[slots] += g * g
     w = _weights(z, n)
     keep = np.flatnonzero(w)
+    rows.clear()
+    textbytes.give_back()
     return pd.DataFrame({"slot": keep, "weight": w[keep]})
 
 
@@ -118,6 +120,7 @@ def score_texts(texts: pa.Array, w: np.ndarray) -> np.ndarray:
         for slot, doc in features(data, offsets):
             total = np.bincount(doc, weights=w[slot], minlength=n)
             out[first : first + n] += SCALE * total / np.maximum(1, np.bincount(doc, minlength=n))
+    textbytes.give_back()
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
