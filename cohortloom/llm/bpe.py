@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,11 +25,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.llm import textbytes
 
 #: Characters of known pieces, with ten more for each piece; about 60 MB of a worker's memory for each million.
 CACHE_CHARS = 5_000_000
+#: Documents that are encoded and decoded together.
+ROWS_AT_A_TIME = 2_048
 #: Two ids, or a rank and an id, are packed in one number.
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -174,10 +178,25 @@ def decode(ids: str | Column, path: str) -> Column:
     return decoded(ids)
 
 
+def _code(path: str):
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                some = batch.slice(at, ROWS_AT_A_TIME)
+                ids = encode_texts(some["text"], path)
+                yield pa.RecordBatch.from_arrays([*some.columns, ids, decode_ids(ids, path)], names=[*some.schema.names, "ids", "decoded"])
+        vocabulary.cache_clear()  # the worker lives on
+        textbytes.give_back()
+
+    return coded
+
+
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """``documents`` with ids and decoded; every row once, repeated rows and null texts included.
 
-    Columns of the input named ids or decoded are replaced. A worker holds the vocabulary, its known pieces and one
-    Arrow batch.
+    Columns of the input named ids or decoded are replaced. A task holds the vocabulary, the pieces it has met lately and
+    ``ROWS_AT_A_TIME`` rows with their ids.
     """
-    return documents.withColumn("ids", encode("text", path)).withColumn("decoded", decode("ids", path))
+    own = documents.drop("ids", "decoded")
+    schema = T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return own.mapInArrow(_code(path), schema)
