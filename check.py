@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL twins: python check.py [--chunked] [sf_dir] [--types] [name-prefix ...]
 
---chunked forces the hot-key path (small chunks) on inputs that would otherwise use plain windows.
+--chunked makes chunks so small that most keys are cut.
 """
 import math
 import sys
@@ -46,7 +46,7 @@ def rows_of(cols, rows):
 def main():
     if "--chunked" in sys.argv:
         sys.argv.remove("--chunked")
-        ordered.SMALL_INPUT_BYTES, ordered.ROWS_PER_CHUNK, ordered.QUANTILE_ROWS = -1, 40, 20
+        ordered.ROWS_PER_CHUNK = 40
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     types_only = "--types" in sys.argv
     prefixes = [a for a in sys.argv[2:] if a != "--types"]

@@ -1,12 +1,11 @@
 """Ordered work per key (lag, running totals, ranks, quantiles) that survives hot keys.
 
-A plain ``Window.partitionBy(key)`` or ``percentile`` gathers one key in one task.  That is right
-while the whole input is small enough for one task, which ``fits_one_task`` reads off the sizes of
-the scanned files; the plain form is then used.  Beyond it, a key with more than about
-``rows_per_chunk`` rows is cut into consecutive value ranges ("chunks"): the window runs inside a
-chunk and a table with one row per chunk carries the state across.  Chunk bounds come from a
-hash-picked sample, so every attempt of a task derives the same bounds.  Keys below the limit have
-a NULL chunk and take no part in the carry join.
+A plain ``Window.partitionBy(key)`` or ``percentile`` gathers one key in one task.  Here a key with
+more than about ``rows_per_chunk`` rows is cut into consecutive value ranges ("chunks"): the window
+runs inside a chunk and a table with one row per chunk carries the state across.  Chunk bounds come
+from a hash-picked sample, so every attempt of a task derives the same bounds.  Keys below the limit
+have a NULL chunk and take no part in the carry join.  The plan is the same for every input size;
+only the rows of a key decide whether it is cut.
 """
 from __future__ import annotations
 
@@ -18,9 +17,7 @@ from pyspark.sql import functions as F
 from cohortloom import session
 
 ROWS_PER_CHUNK = 4_000_000
-QUANTILE_ROWS = 500_000  # values of one key the built-in exact percentile may hold in a task
 POINTS_PER_CHUNK = 8  # sampled rows per chunk: a trillion-row key samples about two million
-SMALL_INPUT_BYTES = 32 << 20
 MIN_ROW_BYTES = 4  # stored bytes per row at the least, to bound the row count by the input size
 BOUND_BYTES = 40  # one bound: an order value and its tie-breaker
 BROADCAST_LIMIT = 256 << 20
@@ -33,19 +30,11 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_INPUT_BYTES
-
-
 def _bounds_fit(df: DataFrame, limit: int) -> bool:
     """Can the chunk bounds be broadcast? They number one per ``limit`` rows, rows counted high."""
     return input_bytes(df) / MIN_ROW_BYTES / limit * BOUND_BYTES <= BROADCAST_LIMIT
 
 
-def _plain(df: DataFrame, rows_per_chunk: int | None) -> bool:
-    return rows_per_chunk is None and fits_one_task(df)
-
-
 def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also pairs NULL keys and keeps one copy of each key column."""
     if not keys:  # one row on each side
@@ -60,14 +49,11 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def settle(df: DataFrame, rows_per_chunk: int | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder before another ordered step.
 
-    The chunked form reads its input several times; stacked steps would multiply that. Small
-    inputs stay lazy.
+    An ordered step reads its input for the bounds, the rows and the carried states; stacked steps would multiply that.
     """
-    if _plain(df, rows_per_chunk):
-        return df
     session.checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -76,11 +62,6 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_chunk: int) -> DataFrame:
-    """Keys holding more rows than one task should sort; at most rows / rows_per_chunk of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_chunk)
-
-
 def _position(bounds: Column, value: Column, steps: int) -> Column:
     """Number of bounds <= value, by binary search."""
     def probe(found: Column, power: Column) -> Column:
@@ -97,8 +78,6 @@ def range_chunks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Add ``_chunk``: ascending range number within a hot key, NULL for every other key."""
-    if _plain(df, rows_per_chunk):
-        return df.withColumn("_chunk", F.lit(None).cast("int"))
     limit = rows_per_chunk or ROWS_PER_CHUNK
     value = F.struct(*order) if len(order) > 1 else F.col(order[0])
     unit = F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 31)) / F.lit(float(1 << 31))
@@ -126,10 +105,6 @@ def with_neighbor(
     """Add the previous (offset -1) or next (+1) row's columns; ``order`` must be unique per key."""
     base, by = _keyed(df, keys)
     step = F.lag if offset < 0 else F.lead
-    if _plain(df, rows_per_chunk):
-        w = Window.partitionBy(*by).orderBy(*order)
-        near = [step(F.col(c) if isinstance(c, str) else c).over(w).alias(n) for n, c in columns.items()]
-        return base.select(*df.columns, *near)
     chunks = range_chunks(base, by, order, rows_per_chunk)
     packed = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
     chunks = chunks.withColumn("_self", packed)
@@ -165,13 +140,6 @@ def running(
     for n, (_, c) in columns.items():
         base = base.withColumn(f"_in_{n}", F.col(c) if isinstance(c, str) else c)
     last_row = Window.currentRow if inclusive else -1
-    if _plain(df, rows_per_chunk):
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
-        out = []
-        for n, (kind, _) in columns.items():
-            v = _MERGE[kind](F.col(f"_in_{n}")).over(w)
-            out.append((F.coalesce(v, F.lit(0)) if kind == "sum" else v).alias(n))
-        return base.select(*df.columns, *out)
     chunks = range_chunks(base, by, order, rows_per_chunk)
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, last_row)
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -243,30 +211,23 @@ def exact_quantiles(
     name: str = "quantiles",
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key as an array; NULL values are left out."""
-    limit = rows_per_chunk or QUANTILE_ROWS
+    """Linear-interpolated quantiles per key as an array; NULL values are left out.
+
+    Values are folded into counts before the shuffle; running totals of the counts place each quantile, so that no
+    task holds the values of a key.
+    """
     base, by = _keyed(df, keys)
-    rows = base.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    builtin = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(name)
-    if _plain(df, rows_per_chunk):
-        return rows.groupBy(*by).agg(builtin).select(*keys, name)
-    hot = hot_keys(rows, by, limit)
-    small = rows.join(hot, by, "left_anti").groupBy(*by).agg(builtin)
-    counts = value_counts(rows.join(hot, by, "left_semi"), by, "_v")
-    placed = running(counts, by, ["_v"], {"_below": ("sum", "_count")}, inclusive=False, rows_per_chunk=limit)
-    placed = placed.join(hot, by)
-    picks = []
+    rows = base.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = value_counts(rows, by, "_v")
+    sizes = counts.groupBy(*by).agg(F.sum("_count").alias("_n"))
+    placed = running(counts, by, ["_v"], {"_below": ("sum", "_count")}, inclusive=False, rows_per_chunk=rows_per_chunk)
+    placed = key_join(placed, sizes, by)
+    picks, blends = [], []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             here = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_count"))
-            picks.append(F.max(F.when(here, F.col("_v").cast("double"))).alias(f"_{tag}{i}"))
-    big = placed.groupBy(*by, "_n").agg(*picks)
-
-    def blend(i: int, p: float) -> Column:
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
+            picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{tag}{i}"))
         part = pos - F.floor(pos)
-        return F.col(f"_lo{i}") * (1 - part) + F.col(f"_hi{i}") * part
-
-    large = big.select(*by, F.array(*[blend(i, p) for i, p in enumerate(probs)]).alias(name))
-    return small.unionByName(large).select(*keys, name)
+        blends.append(F.when(part > 0, F.col(f"_lo{i}") * (1 - part) + F.col(f"_hi{i}") * part).otherwise(F.col(f"_lo{i}")))
+    return placed.groupBy(*by, "_n").agg(*picks).select(*keys, F.array(*blends).alias(name))

@@ -226,10 +226,10 @@ def peak_counts(
         F.stddev_pop("_x").alias("_sd"), F.count(F.lit(1)).alias("_n"), F.greatest(factor * F.stddev_pop("_x"), F.lit(1e-12)).alias("_t")
     )
     before = ordered.with_neighbor(present, keys, order, {"_prev": "_x"}, -1, rows_per_chunk)
-    turns = ordered.settle(before.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_x"))), rows_per_chunk)
+    turns = ordered.settle(before.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("_x"))))
     both = ordered.with_neighbor(turns, keys, order, {"_next": "_x"}, 1, rows_per_chunk)
     peaked = both.withColumn("_peak", F.coalesce((F.col("_x") > F.col("_prev")) & (F.col("_x") > F.col("_next")), F.lit(False)))
-    chunks = ordered.range_chunks(ordered.settle(peaked, rows_per_chunk), keys, order, rows_per_chunk)
+    chunks = ordered.range_chunks(ordered.settle(peaked), keys, order, rows_per_chunk)
     work = ordered.key_join(chunks, spread.select(*keys, "_t"), keys)
     # One row per (key, chunk): its samples in order. A chunk is bounded, whatever the key's length.
     packed = F.array_sort(F.collect_list(F.struct(*order, "_x", "_peak")))

@@ -57,12 +57,20 @@ def test_running(skewed, limit):
     np.testing.assert_allclose(got.l, want.groupby("k").v.cummin())
 
 
-def test_small_inputs_use_the_plain_window(skewed, spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    assert ordered.fits_one_task(events)
-    got = ordered.with_neighbor(events, ["user_id"], ["ts", "event_id"], {"p": "value"})
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan
+@pytest.mark.parametrize("ordered_step", [
+    lambda d: ordered.with_neighbor(d, ["user_id"], ["ts", "event_id"], {"p": "value"}),
+    lambda d: ordered.running(d, ["user_id"], ["ts", "event_id"], {"p": ("sum", "value")}),
+    lambda d: ordered.exact_quantiles(d, ["user_id"], "value", [0.5]),
+])
+def test_plan_does_not_depend_on_the_input_size(spark, sf, ordered_step):
+    import re
+
+    def shape(times):
+        d = spark.read.parquet(*[f"{sf}/events.parquet"] * times)
+        plan = ordered_step(d)._jdf.queryExecution().optimizedPlan().toString()
+        return re.findall(r"^[\s:+-]*([A-Z]\w+)", plan, re.M)
+
+    assert shape(1) == shape(40)
 
 
 def test_running_last_and_global_row_number(skewed):
