@@ -75,9 +75,12 @@ def _position(bounds: Column, value: Column, steps: int) -> Column:
 
 
 def range_chunks(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int | None = None, hot_only: bool = False
 ) -> DataFrame:
-    """Add ``_chunk``: ascending range number within a hot key, NULL for every other key."""
+    """Add ``_chunk``: ascending range number within a hot key, NULL for every other key.
+
+    ``hot_only`` leaves out the rows of other keys; where there is no hot key, the adaptive plan then skips the rows.
+    """
     limit = rows_per_chunk or ROWS_PER_CHUNK
     value = F.struct(*order) if len(order) > 1 else F.col(order[0])
     unit = F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 31)) / F.lit(float(1 << 31))
@@ -88,10 +91,11 @@ def range_chunks(
     ).where(F.size("_bounds") > 0)
     chunk = F.when(F.col("_bounds").isNotNull(), _position(F.col("_bounds"), value, 22))
     if list(keys) == [_ALL]:  # one bounds array for the whole table: no join, so no shuffle on a constant key
-        return df.withColumn("_bounds", bounds.select("_bounds").scalar()).withColumn("_chunk", chunk).drop("_bounds")
+        marked = df.withColumn("_bounds", bounds.select("_bounds").scalar())
+        return (marked.where(F.col("_bounds").isNotNull()) if hot_only else marked).withColumn("_chunk", chunk).drop("_bounds")
     if _bounds_fit(df, limit):  # size checked; otherwise a shuffled join with adaptive skew splitting
         bounds = F.broadcast(bounds)
-    return df.join(bounds, list(keys), "left").withColumn("_chunk", chunk).drop("_bounds")
+    return df.join(bounds, list(keys), "inner" if hot_only else "left").withColumn("_chunk", chunk).drop("_bounds")
 
 
 def with_neighbor(
@@ -107,13 +111,14 @@ def with_neighbor(
     step = F.lag if offset < 0 else F.lead
     chunks = range_chunks(base, by, order, rows_per_chunk)
     packed = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+    hot = range_chunks(base, by, order, rows_per_chunk, hot_only=True).withColumn("_self", packed)
     chunks = chunks.withColumn("_self", packed)
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     place = F.struct(*order)
     edge = F.max_by("_self", place) if offset < 0 else F.min_by("_self", place)
     across = Window.partitionBy(*by).orderBy("_chunk")
     carry = (
-        chunks.where(F.col("_chunk").isNotNull()).groupBy(*by, "_chunk").agg(edge.alias("_edge"))
+        hot.groupBy(*by, "_chunk").agg(edge.alias("_edge"))
         .select(*by, "_chunk", step("_edge").over(across).alias("_carried"))
     )
     near = chunks.withColumn("_near", step("_self").over(inside)).drop("_self")
@@ -149,7 +154,7 @@ def running(
         c = F.col(f"_in_{n}")
         return F.max_by(c, F.when(c.isNotNull(), place)) if kind == "last" else _MERGE[kind](c)
 
-    totals = chunks.where(F.col("_chunk").isNotNull()).groupBy(*by, "_chunk").agg(
+    totals = range_chunks(base, by, order, rows_per_chunk, hot_only=True).groupBy(*by, "_chunk").agg(
         *[chunk_total(n, kind).alias(f"_t_{n}") for n, (kind, _) in columns.items()]
     )
     carry = totals.select(

@@ -156,11 +156,12 @@ def resampled_sums(units: DataFrame, keys: Sequence[str], columns: Sequence[str]
 
 def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: str, value: str, reps: int = 2000, salt: str = "boot", level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over units."""
-    numbered = number_units(df.where(F.col(value).isNotNull()), keys, unit)
+    df = ordered.settle(df)  # one row per unit, read for the numbers, the draws and the point estimate
+    numbered = ordered.settle(number_units(df.where(F.col(value).isNotNull()), keys, unit))
     # A position nobody draws adds nothing and drops out of the join.
     drawn = numbered.withColumn("_one", F.lit(1.0)).join(draws_of(numbered, keys, reps, salt), ["_n", "_i"])
     sums = resampled_sums(drawn, keys, [value, "_one"], reps)
-    means = sums.select(*keys, (F.col(value) / F.col("_one")).alias("_estimate"))
+    means = ordered.settle(sums.select(*keys, (F.col(value) / F.col("_one")).alias("_estimate")))
     tail = (1 - level) / 2
     q = ordered.exact_quantiles(means, keys, "_estimate", [tail, 1 - tail], "_q")
     point = df.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(value).alias("units"))
@@ -174,11 +175,11 @@ def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], unit: str, metric: s
     Each unit is first reduced to its additive sums; a replicate adds up the sums of its drawn units,
     so prediction rows are read once whatever the number of replicates. The same draws serve every key.
     """
-    sums = pred.groupBy(*keys, unit).agg(*metrics.class_sums())
+    sums = ordered.settle(pred.groupBy(*keys, unit).agg(*metrics.class_sums()))
     parts = [c for c in sums.columns if c not in (*keys, unit)]
-    numbered = number_units(pred.select(unit).distinct(), [], unit)
+    numbered = ordered.settle(number_units(sums.select(unit).distinct(), [], unit))
     drawn = sums.join(numbered.join(draws_of(numbered, [], reps, salt), ["_n", "_i"]).select(unit, "_reps"), unit)
-    scores = resampled_sums(drawn, keys, parts, reps).select(*keys, "_rep", *metrics.class_scores())
+    scores = ordered.settle(resampled_sums(drawn, keys, parts, reps).select(*keys, "_rep", *metrics.class_scores()))
     q = ordered.exact_quantiles(scores, keys, metric, [0.025, 0.975], "_q")
     point = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts]).select(*keys, *metrics.class_scores())
     j = ordered.key_join(point.select(*keys, F.col(metric).alias("estimate")), q, keys)
