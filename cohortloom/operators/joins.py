@@ -117,6 +117,7 @@ def excerpt_by_time(df: DataFrame, t: str, lo: float, hi: float) -> DataFrame:
 
 PIVOTS = 16
 BLOCK_ROWS = 20_000
+HELD_DISTANCES = 4_000_000  # distances a task ranks at a time (32 MB, and as much for their order)
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -181,12 +182,19 @@ def knn_join(test: DataFrame, train: DataFrame, key: str, vec: str, label: str,
         if q.empty or s.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
         s = s.sort_values(key)
-        d = _distances(np.stack(q["_qv"].to_numpy()), np.stack(s[vec].to_numpy()), p)
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
+        asked, known = np.stack(q["_qv"].to_numpy()), np.stack(s[vec].to_numpy())
+        step = max(1, HELD_DISTANCES // len(known))
+        tops, nearest = [], []
+        for i in range(0, len(asked), step):
+            d = _distances(asked[i:i + step], known, p)
+            top = np.argsort(d, axis=1, kind="stable")[:, :k].copy()  # a view would keep the whole order
+            tops.append(top)
+            nearest.append(np.take_along_axis(d, top, axis=1))
+        top = np.concatenate(tops)
         width = top.shape[1]
         return pd.DataFrame({
             "_q": np.repeat(q["_q"].to_numpy(), width), "neighbor": s[key].to_numpy()[top].ravel(),
-            "neighbor_label": s[label].to_numpy()[top].ravel(), "distance": np.take_along_axis(d, top, axis=1).ravel(),
+            "neighbor_label": s[label].to_numpy()[top].ravel(), "distance": np.concatenate(nearest).ravel(),
         })
 
     by = ["cell", "_sb", "_qb"]

@@ -98,32 +98,49 @@ def range_chunks(
     return df.join(bounds, list(keys), "inner" if hot_only else "left").withColumn("_chunk", chunk).drop("_bounds")
 
 
-def with_neighbor(
+def with_neighbors(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    columns: Mapping[str, str | Column],
-    offset: int = -1,
+    before: Mapping[str, str | Column],
+    after: Mapping[str, str | Column],
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
-    """Add the previous (offset -1) or next (+1) row's columns; ``order`` must be unique per key."""
+    """Add columns of the previous row (``before``) and of the next (``after``); ``order`` must be unique per key."""
     base, by = _keyed(df, keys)
-    step = F.lag if offset < 0 else F.lead
-    chunks = range_chunks(base, by, order, rows_per_chunk)
-    packed = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
-    hot = range_chunks(base, by, order, rows_per_chunk, hot_only=True).withColumn("_self", packed)
-    chunks = chunks.withColumn("_self", packed)
-    inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     place = F.struct(*order)
-    edge = F.max_by("_self", place) if offset < 0 else F.min_by("_self", place)
+    inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
     across = Window.partitionBy(*by).orderBy("_chunk")
-    carry = (
-        hot.groupBy(*by, "_chunk").agg(edge.alias("_edge"))
-        .select(*by, "_chunk", step("_edge").over(across).alias("_carried"))
+    sides = [side for side in (("_before", before, F.lag, F.max_by), ("_after", after, F.lead, F.min_by)) if side[1]]
+
+    def packed(rows: DataFrame) -> DataFrame:
+        for side, columns, _, _ in sides:
+            rows = rows.withColumn(side, F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()]))
+        return rows
+
+    edges = packed(range_chunks(base, by, order, rows_per_chunk, hot_only=True)).groupBy(*by, "_chunk").agg(
+        *[edge(side, place).alias(side) for side, _, _, edge in sides]
     )
-    near = chunks.withColumn("_near", step("_self").over(inside)).drop("_self")
-    joined = near.join(carry, [*by, "_chunk"], "left").withColumn("_near", F.coalesce("_near", "_carried"))
-    return joined.select(*df.columns, *[F.col(f"_near.{n}").alias(n) for n in columns])
+    carry = edges.select(*by, "_chunk", *[step(side).over(across).alias(f"{side}_carried") for side, _, step, _ in sides])
+    rows = packed(range_chunks(base, by, order, rows_per_chunk))
+    near = rows.select(*base.columns, "_chunk", *[step(side).over(inside).alias(side) for side, _, step, _ in sides])
+    joined = near.join(carry, [*by, "_chunk"], "left")
+    return joined.select(*df.columns, *[
+        F.coalesce(side, f"{side}_carried")[n].alias(n) for side, columns, _, _ in sides for n in columns
+    ])
+
+
+def with_neighbor(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: Mapping[str, str | Column],
+    offset: int = -1,
+    rows_per_chunk: int | None = None,
+) -> DataFrame:
+    """Add the previous (offset -1) or next (+1) row's columns; ``order`` must be unique per key."""
+    before, after = (columns, {}) if offset < 0 else ({}, columns)
+    return with_neighbors(df, keys, order, before, after, rows_per_chunk)
 
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}

@@ -51,10 +51,14 @@ def top_n(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFrame
 
 
 def ranked_comparison(df: DataFrame, value: str, ties: Sequence[str], higher_is_better: bool = True) -> DataFrame:
-    """Order a table of candidates by one figure with the distance from the best."""
-    first = F.col(value).desc() if higher_is_better else F.col(value).asc()
-    w = Window.partitionBy(F.lit(0)).orderBy(first, *ties)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("from_best", F.col(value) - F.first(value).over(w))
+    """Order a table of candidates by one figure with the distance from the best; NULL figures come last.
+
+    ``ties`` must make the order unique. Ranks are numbered in value ranges, so no task holds the whole table.
+    """
+    placed = df.withColumn("_gap", F.col(value).isNull()).withColumn("_place", -F.col(value) if higher_is_better else F.col(value))
+    ranked = ordered.row_numbers(placed, [], ["_gap", "_place", *ties], "rank").drop("_gap", "_place")
+    best = df.agg((F.max if higher_is_better else F.min)(value)).scalar()
+    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn("from_best", F.col(value) - best)
 
 
 def concat_unlike(frames: Sequence[DataFrame]) -> DataFrame:

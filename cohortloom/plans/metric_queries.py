@@ -372,8 +372,7 @@ WITH {SAMPLES} SELECT event_id, lag(value) OVER w AS prev_value, lead(value) OVE
 FROM samples WINDOW w AS (PARTITION BY subject, stream ORDER BY t, event_id)""")
 def w04(spark, sf):
     keys, order = ["subject", "stream"], ["t", "event_id"]
-    a = ordered.settle(ordered.with_neighbor(samples(spark, sf), keys, order, {"prev_value": "value"}))
-    b = ordered.with_neighbor(a, keys, order, {"next_value": "value"}, 1)
+    b = ordered.with_neighbors(samples(spark, sf), keys, order, {"prev_value": "value"}, {"next_value": "value"})
     return b.select("event_id", "prev_value", "next_value", r(F.col("value") - F.col("prev_value")).alias("diff"))
 
 

@@ -101,8 +101,7 @@ WITH {SAMPLES}, n AS (SELECT subject, value, lag(value) OVER w AS p, lead(value)
 SELECT subject, sum(CAST(p IS NOT NULL AND q IS NOT NULL AND value > p AND value > q AS BIGINT))::BIGINT AS maxima FROM n GROUP BY subject""")
 def g06_strict(spark, sf):
     s = samples(spark, sf)
-    a = ordered.settle(ordered.with_neighbor(s, ["subject"], ["t", "event_id"], {"p": "value"}, -1))
-    b = ordered.with_neighbor(a, ["subject"], ["t", "event_id"], {"q": "value"}, 1)
+    b = ordered.with_neighbors(s, ["subject"], ["t", "event_id"], {"p": "value"}, {"q": "value"})
     top = F.coalesce((F.col("value") > F.col("p")) & (F.col("value") > F.col("q")), F.lit(False))
     return b.groupBy("subject").agg(F.sum(top.cast("long")).alias("maxima"))
 
