@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import textbytes
 from cohortloom.llm.components import components, settled
 
+#: Words of a shingle and least similarity in hundredths, where the caller names no others.
 WORDS = 4
 PERCENT = 85
 #: Members of a bucket, most central first, that all others are compared with in the first rounds.
@@ -93,13 +94,16 @@ def _set_keys(packed: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray,
     return size, key.view(np.int64), head
 
 
-def _sizes(texts: pa.Array) -> pa.Array:
-    n, key = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for first, count, packed in shingle_sets(texts):
-        size, keys, _ = _set_keys(packed, count)
-        n[first : first + count], key[first : first + count] = size, keys
-    textbytes.give_back()
-    return pa.StructArray.from_arrays([pa.array(n), pa.array(key, mask=n == 0)], names=["n", "key"])
+def _sizes(words: int):
+    def sizes(texts: pa.Array) -> pa.Array:
+        n, key = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for first, count, packed in shingle_sets(texts, words):
+            size, keys, _ = _set_keys(packed, count)
+            n[first : first + count], key[first : first + count] = size, keys
+        textbytes.give_back()
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(key, mask=n == 0)], names=["n", "key"])
+
+    return sizes
 
 
 def _token_bytes(tokens: np.ndarray) -> bytes:
@@ -112,7 +116,7 @@ def _tokens_of(raw: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _dealt(parts: int):
+def _dealt(parts: int, words: int):
     """Packs (set, token) pairs by part: a token's own part, or, for frequent tokens, a part of the set's."""
 
     def rows(part: np.ndarray, key: np.ndarray, token: np.ndarray, flagged: bool) -> pa.RecordBatch | None:
@@ -152,7 +156,7 @@ def _dealt(parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, tokens, held, met = [], [], 0, set()
         for batch in batches:
-            for _, count, packed in shingle_sets(batch["text"]):
+            for _, count, packed in shingle_sets(batch["text"], words):
                 size, key, head = _set_keys(packed, count)
                 for i in np.flatnonzero(size):
                     if key[i] in met:
@@ -203,27 +207,27 @@ def _shared_tokens(parts: int):
     return shared
 
 
-def _least_share(n: Column) -> Column:
+def _least_share(n: Column, percent: int) -> Column:
     """ceil(t n): what a set of n must share with a linked one at least."""
-    return F.ceil((n * PERCENT + 0.0) / 100).cast("int")
+    return F.ceil((n * percent + 0.0) / 100).cast("int")
 
 
-def _need(n1: Column, n2: Column) -> Column:
+def _need(n1: Column, n2: Column, percent: int) -> Column:
     """Shingles that sets of these sizes share at least if they are linked: ceil(t (n1 + n2) / (1 + t))."""
-    return F.ceil(((n1 + n2) * PERCENT + 0.0) / (100 + PERCENT)).cast("int")
+    return F.ceil(((n1 + n2) * percent + 0.0) / (100 + percent)).cast("int")
 
 
-def set_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+def set_links(sets: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, root) of the sets that are linked with others; ``sets`` has n and key, ``texts`` the texts they stem from."""
     total = sets.agg(F.sum("n").alias("n")).first().n or 0
     parts = max(1, -(-total // PART_TOKENS))
-    dealt = texts.mapInArrow(_dealt(parts), "part long, flagged boolean, keys binary, counts binary, tokens binary")
+    dealt = texts.mapInArrow(_dealt(parts, words), "part long, flagged boolean, keys binary, counts binary, tokens binary")
     shared = dealt.groupBy("part").applyInArrow(_shared_tokens(parts), "key long, token long")
     by_set = shared.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     sizes = sets.where("n > 0").groupBy("key").agg(F.max("n").cast("int").alias("n"))
     n, own = F.col("n"), F.col("n") - F.size("tokens")
-    alive = by_set.where(F.size("tokens") > 0).join(sizes, "key").where(F.size("tokens") >= _least_share(n))
-    length = n - _least_share(n) + 1 - own
+    alive = by_set.where(F.size("tokens") > 0).join(sizes, "key").where(F.size("tokens") >= _least_share(n, percent))
+    length = n - _least_share(n, percent) + 1 - own
 
     def prefix(salt: int) -> Column:
         return F.slice(F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(salt)))), F.lit(1), length)
@@ -249,7 +253,7 @@ def set_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
             mixed = major.where("classes > 1").select("token", F.col("m.root").alias("major"))
             members = members.join(mixed, "token")
             hubs = members.where("root <> major").drop("major")
-        links = _verified(_candidates(members, hubs), alive)
+        links = _verified(_candidates(members, hubs, percent), alive, percent)
         joined = components(links.join(_named(roots, "x"), "x").join(_named(roots, "y"), "y").select(F.col("root_x").alias("a"), F.col("root_y").alias("b")))
         renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
         roots = settled(roots.join(renamed, "root", "left").select("key", F.coalesce("new_root", "root").alias("root")))
@@ -260,16 +264,16 @@ def _named(roots: DataFrame, side: str) -> DataFrame:
     return roots.select(F.col("key").alias(side), F.col("root").alias(f"root_{side}"))
 
 
-def _candidates(members: DataFrame, hubs: DataFrame) -> DataFrame:
+def _candidates(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (x, y) of members and hubs of one bucket, of different classes, whose places allow a link."""
     left, right = members.alias("l"), hubs.alias("r")
     left_over = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
-    fits = left_over >= _need(F.col("l.n"), F.col("r.n"))
+    fits = left_over >= _need(F.col("l.n"), F.col("r.n"), percent)
     pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root")) & fits)
     return pairs.select(F.least("l.key", "r.key").alias("x"), F.greatest("l.key", "r.key").alias("y")).distinct()
 
 
-def _verified(pairs: DataFrame, alive: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     """The pairs whose second and third prefixes overlap too and whose sets are similar enough."""
     def side(name: str) -> DataFrame:
         return alive.select(F.col("key").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "tokens", "second", "third")))
@@ -277,35 +281,36 @@ def _verified(pairs: DataFrame, alive: DataFrame) -> DataFrame:
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     both = both.where(F.arrays_overlap("second_x", "second_y") & F.arrays_overlap("third_x", "third_y"))
     shared = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    return settled(both.where(100 * shared >= PERCENT * (F.col("n_x") + F.col("n_y") - shared)).select("x", "y"))
+    return settled(both.where(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select("x", "y"))
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: the id, n_shingles (set size) and component_id (the smallest id reachable by links).
 
+    Two texts are linked if their sets of ``words``-word shingles have a similarity of ``percent`` hundredths or more.
     Repeated rows come back as often. A null or empty text, or one of white space only, has no shingles and is linked
     with nothing: its component is its own id. A null id never names a component that has another id. Sets are told
     apart by 64-bit keys and shingles by 48-bit tokens. Columns other than id and text are ignored. Nothing but counts
     reaches the driver.
     """
-    sized = F.arrow_udf(_sizes, "n long, key long")
+    sized = F.arrow_udf(_sizes(words), "n long, key long")
     texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     sets = documents.select(F.col(id_col).alias("id"), sized(F.col(text)).alias("s")).select("id", "s.n", "s.key")
     sets = settled(sets)
-    roots = set_links(sets, texts).withColumnRenamed("key", "root_key")
+    roots = set_links(sets, texts, words, percent).withColumnRenamed("key", "root_key")
     classed = sets.join(roots, sets["key"] == roots["root_key"], "left").select("id", "n", "key", F.coalesce("root", "key").alias("class"))
     least = classed.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("least")).withColumnRenamed("class", "class2")
     named = classed.join(least, classed["class"] == least["class2"], "left")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_one(documents: DataFrame, id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents`` whose id is the smallest of its component; rows that share an id are one document.
 
     An id with several texts stays if one of them does, and rows without an id stay. The ids that go are broadcast up to
     ``BROADCAST_ROWS``, and joined by a shuffle beyond.
     """
-    found = near_duplicates(documents, id_col)
+    found = near_duplicates(documents, id_col, words=words, percent=percent)
     gone = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min((F.col(id_col) != F.col("component_id")).cast("int")).alias("gone"))
     gone = settled(gone.where("gone = 1").select(id_col))
     return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, id_col, "left_anti").select(documents.columns)

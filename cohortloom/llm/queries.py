@@ -225,4 +225,4 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, reach.least AS c
 
 @query("op10_ngram_jaccard_join", _JACCARD_SQL)
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)

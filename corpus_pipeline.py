@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return jaccard_join.keep_one(docs)
+    """The document with the smallest id of each group of near copies: a similarity of 0.8 or more by five-word shingles."""
+    return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
