@@ -222,6 +222,31 @@ def test_repeated_rows_and_null_ids_of_strings(spark):
     assert suffix_dedup.dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("frequent, group", [(4, 10**9), (10**9, 5), (6, 5)])
+def test_an_anchor_with_many_pieces_is_split(spark, frequent, group, monkeypatch):
+    rng = random.Random(5)
+    passage, ends = words_of(rng, 60, 10**6), [words_of(rng, 12, 10**6) for _ in range(3)]
+    texts = [f"{words_of(rng, 25, 10**6)} {passage} {rng.choice(ends)[: rng.randint(0, 60)]} {words_of(rng, 20, 10**6)}" for _ in range(80)]
+    texts += [texts[5], texts[9][:-7], "ab" * 200, "xab" * 90 + passage]
+    rng.shuffle(texts)
+    sort_shard, most = suffix_dedup._sort_shard, min(frequent * 8, group)
+
+    def watched(table: pa.Table) -> pa.Table:
+        pieces_of = np.unique(table["anchor"].to_numpy(), return_counts=True)[1]
+        assert pieces_of.max() <= most, f"{pieces_of.max()} pieces of one anchor in one shard"
+        return sort_shard(table)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shard", watched)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", frequent, raising=False)
+    monkeypatch.setattr(suffix_dedup, "GROUP_PIECES", group, raising=False)
+    monkeypatch.setattr(suffix_dedup, "BUFFER_WINDOWS", 700, raising=False)
+    monkeypatch.setattr(suffix_dedup, "PART_WINDOWS", 900, raising=False)
+    monkeypatch.setattr(suffix_dedup, "PART_PIECES", 40)
+    rows = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(docs(spark, texts).repartition(5)).collect()}
+    for i, expected in enumerate(brute_force_removed(texts)):
+        assert rows[i] == expected, i
+
+
 def test_equal_windows_lie_in_pieces_of_one_anchor():
     rng = random.Random(8)
     common = words_of(rng, 80)
