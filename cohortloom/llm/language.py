@@ -22,6 +22,8 @@ SLOTS = 1 << 15
 SMOOTHING = 0.5
 #: Training texts, about; see ``samples.bounded``.
 SAMPLE_ROWS = 8_192
+#: Rows a language gives at least, if it has them.
+LEAST_ROWS = 64
 EM_STEPS = 12
 LEAST_PENALTY = 3.0
 UNDETERMINED = "und"
@@ -200,10 +202,10 @@ def predict(text: str | Column, names: list[str], table: np.ndarray) -> Column:
 def identify(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, modulus: int = 4, rest: int = 2) -> DataFrame:
     """``documents`` with held_out, lang_pred and score; every row once, repeated rows included.
 
-    Models are learnt from about ``sample_rows`` rows with a language outside the held-out remainder; rows with a null
-    id are learnt from too. Without any such row every text is ``und``. Columns named like the three are replaced.
+    Models are learnt from about ``sample_rows`` rows with a language outside the held-out remainder, dealt over the
+    languages so that each has a model; rows with a null id are learnt from too. Without any such row every text is ``und``. Columns named like the three are replaced.
     """
     known = documents.where(F.col("lang").isNotNull() & ~samples.is_held_out("doc_id", modulus, rest))
-    names, table = train(samples.bounded(known, "doc_id", sample_rows))
+    names, table = train(samples.bounded_by(known.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], sample_rows, LEAST_ROWS))
     out = documents.withColumn("held_out", samples.is_held_out("doc_id", modulus, rest)).withColumn("_lang", predict("text", names, table))
     return out.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")

@@ -30,6 +30,31 @@ def bounded(rows: DataFrame, key: str, bound: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(SLOTS)) < int(SLOTS * bound / n))
 
 
+def bounded_by(rows: DataFrame, group: str, keys: list[str], bound: int, least: int) -> DataFrame:
+    """About ``bound`` rows at most, dealt over the values of ``group``: all rows when there are no more than that.
+
+    Values with few rows keep them all, the others give the same expected number each, at least ``least``, so that no value
+    is lost at any size; with very many values the bound gives way to that. Rows are picked by a hash of ``keys``; of rows
+    that are equal in them, one is taken. The counts of the values reach the driver.
+    """
+    counts = {r[0]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(counts.values()) <= bound:
+        return rows
+    left, cap = bound, 0
+    ordered = sorted(counts.values())
+    for i, n in enumerate(ordered):
+        cap = left // (len(ordered) - i)
+        if n > cap:
+            break
+        left -= n
+    cap = max(cap, least)
+    slots = [(value, min(SLOTS, -(-SLOTS * cap // n))) for value, n in counts.items()]
+    rates = rows.sparkSession.createDataFrame(slots, f"_value {rows.schema[group].dataType.simpleString()}, _slots long")
+    dealt = rows.join(F.broadcast(rates), F.col(group) == F.col("_value"))
+    picked = dealt.where(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(SLOTS)) < F.col("_slots"))
+    return picked.select(rows.columns).dropDuplicates([group, *keys])
+
+
 def labelled_texts(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """Texts with their labels for about ``bound`` label rows.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, components, decontaminate, jaccard_join, language, line_dedup, pieces, quality, suffix_array, suffix_dedup, textbytes, topk, toxicity
+from cohortloom.llm import bpe, components, decontaminate, jaccard_join, language, line_dedup, pieces, quality, samples, suffix_array, suffix_dedup, textbytes, topk, toxicity
 from cohortloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, score double, ids string, kept int, _id string"
@@ -145,6 +145,19 @@ def test_mixture_shares():
     assert pure.tolist() == [1.0, 0.0]
 
 
+def test_a_rare_language_has_a_model_at_every_size(spark):
+    rng = random.Random(12)
+    common = [f"the house and the {words_of(rng, 6)} garden were quiet this morning" for _ in range(3000)]
+    rare = [f"þetta hús og garðurinn {w} voru hljóð í morgun" for w in ("hér", "þar", "nú", "samt")]
+    rows = [(None if i % 2 else 4 * i, x, "en") for i, x in enumerate(common)] + [(None, x, "is") for x in rare]
+    rows += [(None, "the same row again", "en")] * 2000
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.text: r.lang_pred for r in language.identify(d, sample_rows=200).where("lang = 'is'").collect()}
+    assert out == dict.fromkeys(rare, "is")
+    picked = samples.bounded_by(d, "lang", ["doc_id", "text"], 200, 64).collect()
+    assert sum(r.lang == "is" for r in picked) == 4 and 50 < sum(r.lang == "en" for r in picked) < 400
+
+
 def test_language_without_training_rows(spark):
     d = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert language.identify(d).first().lang_pred == "und"
