@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, quality, suffix_dedup, topk, toxicity
+from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, merkle, quality, samples, suffix_dedup, topk, toxicity
 from cohortloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -226,3 +226,70 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, reach.least AS c
 @query("op10_ngram_jaccard_join", _JACCARD_SQL)
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
+
+
+_MERKLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS k, coalesce(lang, '') AS l, lang IS NOT NULL AS has FROM documents
+), bits AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(k, '')]),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) AS crc FROM d
+), f AS (
+  SELECT *, coalesce(strlen(k) || ':' || k, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+    coalesce(strlen(text) || ':' || text, '-') AS back,
+    CAST(n_chars AS VARCHAR) AS n, CAST(CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS VARCHAR) AS n2 FROM bits
+), leaf AS (
+  SELECT rid, doc_id, l, has, sha256(front || coalesce(strlen(n) || ':' || n, '-') || back) AS leaf, sha256(front || coalesce(strlen(n2) || ':' || n2, '-') || back) AS claim FROM f
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY has, l ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY has, l) AS total FROM leaf
+), tree AS (
+  SELECT has, l, 0 AS level, pos, total, leaf AS digest FROM placed
+  UNION ALL
+  SELECT a.has, a.l, a.level + 1, a.pos // 2, (a.total + 1) // 2, sha256(a.digest || coalesce(b.digest, ''))
+  FROM tree a LEFT JOIN tree b ON a.has = b.has AND a.l = b.l AND b.pos = a.pos + 1
+  WHERE a.pos % 2 = 0 AND a.total > 1
+), subroots AS (
+  SELECT has, l, level AS top, digest AS subroot, row_number() OVER (ORDER BY has, l) - 1 AS pos, count(*) OVER () AS total FROM tree WHERE total = 1
+), upper AS (
+  SELECT 0 AS level, pos, total, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT a.level + 1, a.pos // 2, (a.total + 1) // 2, sha256(a.digest || coalesce(b.digest, ''))
+  FROM upper a LEFT JOIN upper b ON b.pos = a.pos + 1
+  WHERE a.pos % 2 = 0 AND a.total > 1
+), walk AS (
+  SELECT rid, has, l, 0 AS level, pos, total, claim AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.rid, w.has, w.l, w.level + 1, w.pos // 2, (w.total + 1) // 2,
+    CASE WHEN s.digest IS NULL THEN sha256(w.folded) WHEN w.pos % 2 = 0 THEN sha256(w.folded || s.digest) ELSE sha256(s.digest || w.folded) END,
+    w.proof || coalesce(s.digest, '')
+  FROM walk w LEFT JOIN tree s ON s.has = w.has AND s.l = w.l AND s.level = w.level AND s.pos = xor(w.pos, 1)
+  WHERE w.total > 1
+), climb AS (
+  SELECT w.rid, 0 AS level, r.pos, r.total, w.folded, w.proof FROM walk w JOIN subroots r ON r.has = w.has AND r.l = w.l WHERE w.total = 1
+  UNION ALL
+  SELECT w.rid, w.level + 1, w.pos // 2, (w.total + 1) // 2,
+    CASE WHEN s.digest IS NULL THEN sha256(w.folded) WHEN w.pos % 2 = 0 THEN sha256(w.folded || s.digest) ELSE sha256(s.digest || w.folded) END,
+    w.proof || coalesce(s.digest, '')
+  FROM climb w LEFT JOIN upper s ON s.level = w.level AND s.pos = xor(w.pos, 1)
+  WHERE w.total > 1
+), root AS (SELECT digest AS root FROM upper WHERE total = 1)
+SELECT leaf.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaf JOIN subroots USING (has, l) JOIN climb ON climb.rid = leaf.rid AND climb.total = 1 CROSS JOIN root
+"""
+
+
+@query("op13_merkle_manifest", _MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(samples.remainder("doc_id", 7) == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    sealed = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    leaves = documents.select("doc_id", "lang", sealed(F.col("n_chars")).alias("leaf"), sealed(tampered).alias("claim"))
+    return merkle.manifest(leaves, claim="claim").select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof_text().cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
