@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, merkle, quality, samples, suffix_dedup, topk, toxicity
+from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, merkle, quality, ranked_search, samples, suffix_dedup, topk, toxicity
 from cohortloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -293,3 +293,36 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+_SEARCH_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+  FROM documents
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0
+), asked AS (
+  SELECT row_number() OVER () AS number, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS ts
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), terms AS (
+  SELECT number, unnest(ts) AS t FROM asked
+), occurring AS (
+  SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM terms) GROUP BY rid, t
+), weighted AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM occurring, totals GROUP BY t
+), impact AS (
+  SELECT rid, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(ts) * n_docs) // n_terms))) AS part
+  FROM occurring JOIN d USING (rid) JOIN weighted USING (t), totals
+), scored AS (
+  SELECT number, rid, CAST(sum(part) AS BIGINT) AS score FROM terms JOIN impact USING (t) GROUP BY number, rid
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scored JOIN d USING (rid) JOIN asked USING (number) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", _SEARCH_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
