@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, merkle, quality, ranked_search, samples, suffix_dedup, topk, toxicity
+from cohortloom.llm import bpe, decontaminate, jaccard_join, language, licenses, line_dedup, lm_scoring, merkle, quality, ranked_search, samples, suffix_dedup, topk, toxicity
 from cohortloom.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -228,6 +228,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4, percent=85)
 
 
+@query("op11_lm_scoring")
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 _MERKLE_SQL = """
 WITH RECURSIVE d AS (
   SELECT *, row_number() OVER () AS rid, CAST(doc_id AS VARCHAR) AS k, coalesce(lang, '') AS l, lang IS NOT NULL AS has FROM documents
