@@ -158,8 +158,11 @@ def x07(spark, sf):
     return prep.select(state(spark, sf), "anova_f", 20).select("outer_fold", "feature", F.col("rank").cast("long").alias("rank"))
 
 
+# The range of imputed training values is that of the values themselves: a median lies between them.
 @query("x08_quantize", f"""
-WITH {PREP} SELECT f.vec_id, f.feature, f.fold, CASE WHEN qmax > qmin THEN CAST(greatest(0, least(10, floor((coalesce(value, median) - qmin) / (qmax - qmin) * 11))) AS INTEGER) ELSE 0 END AS level
+WITH {FOLDED}, state AS (SELECT o AS outer_fold, feature, coalesce(quantile_cont(value, 0.5), 0) AS median, coalesce(min(value), 0) AS qmin, coalesce(max(value), 0) AS qmax
+  FROM folded, (SELECT unnest([1, 2, 3, 4, 5]) AS o) WHERE fold <> o GROUP BY o, feature)
+SELECT f.vec_id, f.feature, f.fold, CASE WHEN qmax > qmin THEN CAST(greatest(0, least(10, floor((coalesce(value, median) - qmin) / (qmax - qmin) * 11))) AS INTEGER) ELSE 0 END AS level
 FROM folded f JOIN state s ON f.fold = s.outer_fold AND f.feature = s.feature""")
 def x08(spark, sf):
     q = prep.quantize(folded(spark, sf), state(spark, sf), "fold", 11)

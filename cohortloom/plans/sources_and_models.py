@@ -7,11 +7,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortloom import session
-from cohortloom.operators import metrics, models, tables
+from cohortloom.functions.numeric import argmax_low, bound
+from cohortloom.operators import boosting, metrics, models, tables
 from cohortloom.sources import files, sinks
 from cohortloom.sources.tables import read_table
 
-from .inputs import SAMPLES, VECTORS, features, r, samples, table, vectors
+from .inputs import FEATURES, SAMPLES, VECTORS, features, r, samples, table, vectors
 from .preparation import folded
 from .registry import query
 
@@ -161,14 +162,31 @@ def m04_reg(spark, sf):
 
 @query("m06_boosted_classifier")
 def m06(spark, sf):
-    v, train = _data(spark, sf, "target_class")
-    return _classified(models.boosted_classifier(train, rounds=5), v)
+    v = vectors(spark, sf)
+    booster = boosting.boost(v.where(TRAIN), "vec", "target_class", 4, rounds=100)
+    return v.select("vec_id", "target_class", argmax_low(booster.predict(v, "vec")).alias("prediction"))
 
 
 @query("m06_boosted_regressor")
 def m06_reg(spark, sf):
-    v, train = _data(spark, sf, "target_score")
-    return models.regression_output(models.boosted_regressor(train, rounds=10).transform(v), ["vec_id", "target_score"])
+    v = vectors(spark, sf)
+    booster = boosting.boost(v.where(TRAIN), "vec", "target_score", None, rounds=100)
+    raw = v.withColumn("prediction_raw", booster.predict(v, "vec"))
+    return raw.select("vec_id", "target_score", "prediction_raw", bound(F.col("prediction_raw"), 1.0, 4.0).alias("prediction_bounded"))
+
+
+@query("m06_first_splits", f"""
+WITH {FEATURES}, tr AS (SELECT * FROM features WHERE {TRAIN}), n AS (SELECT count(*) AS n FROM tr WHERE pos = 0),
+c AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS class), prior AS (SELECT class, count(*) FILTER (target_class = class) / any_value(n.n) AS p FROM tr, c, n WHERE pos = 0 GROUP BY class),
+cuts AS (SELECT DISTINCT pos, unnest(quantile_cont(value, [i / 32 FOR i IN range(1, 32)])) AS cut FROM tr GROUP BY pos),
+s AS (SELECT class, t.pos, cut, any_value(n.n) AS n, any_value(p) AS p, count(*) FILTER (value <= cut) AS nl, count(*) FILTER (value <= cut AND target_class = class) AS kl, count(*) FILTER (target_class = class) AS k
+  FROM tr t JOIN cuts ON t.pos = cuts.pos, prior, n GROUP BY class, t.pos, cut),
+g AS (SELECT *, nl * (n - nl) / n * ((kl - p * nl) / nl - ((k - kl) - p * (n - nl)) / (n - nl)) ** 2 AS gain FROM s WHERE nl > 0 AND nl < n)
+SELECT class, CAST(pos AS INTEGER) AS pos, round(cut, 7) AS cut, nl AS left_rows, round(gain, 6) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(gain, 9) DESC, pos, cut) = 1""")
+def m06_splits(spark, sf):
+    found = boosting.first_splits(vectors(spark, sf).where(TRAIN), "vec", "target_class", 4)
+    out = spark.createDataFrame(found, "class int, pos int, cut double, left_rows long, gain double")
+    return out.select("class", "pos", r("cut", 7).alias("cut"), "left_rows", r("gain", 6).alias("gain"))
 
 
 @query("m07_ridge")
