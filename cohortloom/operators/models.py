@@ -166,7 +166,7 @@ def nested_predictions(
     for f in range(1, k + 1):
         model = fit(frame(train_x.where(F.col("outer_fold") == f), "x", label))
         held = frame(test_x.where(F.col("outer_fold") == f), "x", label)
-        parts.append(model.transform(held).select("outer_fold", ident, F.col(label).alias("y_true"), F.col("prediction").cast("int").alias("y_pred")))
+        parts.append(model.transform(held).select("outer_fold", ident, F.col(label).alias("y_true"), F.col("prediction").alias("y_pred")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

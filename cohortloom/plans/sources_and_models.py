@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import session
 from cohortloom.functions.numeric import argmax_low, bound
-from cohortloom.operators import boosting, metrics, models, tables
+from cohortloom.operators import boosting, linear, metrics, models, tables
 from cohortloom.sources import files, sinks
 from cohortloom.sources.tables import read_table
 
@@ -144,8 +144,22 @@ def m02(spark, sf):
 
 @query("m03_linear_svm")
 def m03(spark, sf):
-    v, train = _data(spark, sf, "target_class")
-    return _classified(models.linear_svm(train, 10.0), v)
+    v = vectors(spark, sf)
+    machines = linear.squared_hinge(v.where(TRAIN), "vec", "target_class", 4, 10.0)
+    return v.select("vec_id", "target_class", argmax_low(linear.values("vec", machines)).alias("prediction"))
+
+
+PENALTIES = [0.1, 1.0, 10.0]
+
+
+@query("m03_svm_certificate", """
+SELECT c, class, true AS certified FROM (SELECT unnest([0.1::DOUBLE, 1, 10]) AS c), (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS class)""")
+def m03_certificate(spark, sf):
+    """Whether the duality gap is below 1e-4 of the objective for every published penalty and class."""
+    v = vectors(spark, sf).where(TRAIN)
+    machines = linear.fit(v, "vec", "target_class", [linear.Machine(c, positive=k) for c in PENALTIES for k in range(4)])
+    found = [(m.c, m.positive, -1e-9 <= m.gap < 1e-4) for m in machines]
+    return spark.createDataFrame(found, "c double, class int, certified boolean")
 
 
 @query("m04_random_forest_classifier")
@@ -204,8 +218,19 @@ def m08(spark, sf):
 @query("m09_linear_svr")
 def m09(spark, sf):
     v = vectors(spark, sf)
-    w, b = models.linear_svr(v.where(TRAIN), "vec", "target_score", c=1.0, epsilon=0.1, epochs=20)
-    return models.regression_output(v.withColumn("prediction", models.linear_value(F.col("vec"), w, b)), ["vec_id", "target_score"])
+    machine = linear.insensitive(v.where(TRAIN), "vec", "target_score", c=1.0, epsilon=0.1)
+    predicted = F.get(linear.values("vec", [machine]), F.lit(0))
+    return models.regression_output(v.withColumn("prediction", predicted), ["vec_id", "target_score"])
+
+
+@query("m09_svr_certificate", """
+SELECT c, epsilon, true AS certified FROM (SELECT unnest([0.01::DOUBLE, 0.1, 1, 10]) AS c), (SELECT unnest([0.0::DOUBLE, 0.1, 0.2]) AS epsilon)""")
+def m09_certificate(spark, sf):
+    """Whether the duality gap is below 1e-4 of the objective for every published candidate."""
+    machines = [linear.Machine(c, epsilon=e) for c in (0.01, 0.1, 1.0, 10.0) for e in (0.0, 0.1, 0.2)]
+    linear.fit(vectors(spark, sf).where(TRAIN), "vec", "target_score", machines)
+    found = [(m.c, m.epsilon, -1e-9 <= m.gap < 1e-4) for m in machines]
+    return spark.createDataFrame(found, "c double, epsilon double, certified boolean")
 
 
 @query("m10_least_squares_on_components")
@@ -224,4 +249,5 @@ def m11(spark, sf):
 
 @query("m12_nested_pipeline")
 def m12(spark, sf):
-    return models.nested_predictions(folded(spark, sf), "fold", 5, "target_class", "target_score", "vec_id", 20, lambda t: models.logistic(t, 1.0))
+    found = models.nested_predictions(folded(spark, sf), "fold", 5, "target_class", "target_score", "vec_id", 20, lambda t: models.logistic(t, 1.0))
+    return found.withColumn("y_pred", F.col("y_pred").cast("int"))
