@@ -3,8 +3,9 @@
 A text is cut at the added tokens, normalised (NFC, lower case), split into contractions, letter runs, single digits
 and runs of marks, and each piece becomes a doubly linked list of byte symbols, the last one carrying the word-end
 mark. A heap of (rank, place) offers the pair to merge next; entries whose symbols have changed since are skipped.
-Pieces repeat a lot, so a worker keeps the ids of the pieces it has met (up to ``CACHE_CHARS``, then it starts anew, which
-changes no result).
+Pieces repeat a lot, so a worker keeps the ids of the pieces it has met lately, in two generations of up to ``CACHE_CHARS``:
+when the young one is full it becomes the old one, and pieces that are met again come back from there. This changes no
+result.
 
 Decoding looks up the vocabulary strings of the ids and concatenates them with a space between, as the file has no
 decoder of its own.
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 
 from cohortloom.llm import textbytes
 
-#: Characters of known pieces, with ten more for each piece; about 60 MB of a worker's memory for each million.
-CACHE_CHARS = 5_000_000
+#: Characters of a generation of known pieces, with ten more for each piece; about 60 MB of a worker's memory for each million.
+CACHE_CHARS = 700_000
 #: Documents that are encoded and decoded together.
 ROWS_AT_A_TIME = 2_048
 #: Two ids, or a rank and an id, are packed in one number.
@@ -75,7 +76,11 @@ class Vocabulary:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if longest_first else lambda text: [text]
         self.array = pa.array(self.tokens, pa.string())
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.room = CACHE_CHARS
 
     def encode_piece(self, piece: str) -> bytes:
@@ -120,12 +125,12 @@ class Vocabulary:
             part = normalised(part)
             pieces = self.ascii_pieces(part) if part.isascii() else self.pieces(part)
             for piece in set(pieces).difference(known):
-                known[piece] = self.encode_piece(piece)
+                known[piece] = self.old.get(piece) or self.encode_piece(piece)
                 self.room -= len(piece) + 10
             out.extend(map(known.__getitem__, pieces))
             if self.room < 0:
-                known.clear()
-                self.room = CACHE_CHARS
+                self.old, self.known = known, {}
+                known, self.room = self.known, CACHE_CHARS
         return b"".join(out)
 
 

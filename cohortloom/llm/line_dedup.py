@@ -1,9 +1,11 @@
-"""Substring dedup by line hashing: of all equal lines of a corpus, the first stays.
+"""Substring dedup by hashing units of text: of all equal units of a corpus, the first stays.
 
-A text is cut at line feeds. A line's normal form has A-Z in lower case and one space for every run of white space, none
-at the ends; lines whose normal form is empty are always kept. Digests (SHA-256) of the normal forms are grouped over the
-whole corpus; the occurrence with the smallest (id, text digest, line number) stays and the others go, with the place and
-length they had in the original text recorded.
+A text is cut behind the matches of a pattern, by default behind line feeds and behind sentence marks with white space, so
+that a passage is found that begins or ends inside a line. A unit's normal form has A-Z in lower case and one space for
+every run of white space, none at the ends. Units of fewer than ``least_words`` words repeat by chance and always stay;
+0 makes every unit with a form count. Digests (SHA-256) of the normal forms are grouped over the whole corpus; the
+occurrence with the smallest (id, text digest, unit number) stays and the others go, with the place and length they had in
+the original text recorded.
 """
 from __future__ import annotations
 
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 from cohortloom.llm.columns import lower_ascii
 from cohortloom.llm.components import settled
 
-#: A separator that ends a unit: a line feed, or an empty line for paragraphs.
-LINE, PARAGRAPH = "\n", "\n\n"
+#: Ends of units, as regular expressions.
+SENTENCE, LINE, PARAGRAPH = r"([.!?][ \t]+|\n)", r"(\n)", r"(\n\n)"
+LEAST_WORDS = 12
+#: Put behind the end of a unit; where a text holds one itself, it counts as a space.
+MARK = "\x1e"
 _CUT_TYPE = pa.struct([("kept", pa.string()), ("removed", pa.list_(pa.struct([("number", pa.int32()), ("first", pa.int32()), ("length", pa.int32())])))])
 
 
@@ -23,50 +28,59 @@ def normal_form(unit: Column) -> Column:
     return F.trim(F.regexp_replace(lower_ascii(unit), r"[\x09-\x0D\x20]+", " "))
 
 
-def without(separator: str):
-    """(kept, removed) of a text and the numbers of its units that go."""
+def units(text: str, end: str) -> Column:
+    """The units of a text, end marks included; together they are as long as the text."""
+    return F.split(F.regexp_replace(F.translate(F.col(text), MARK, " "), end, "$1" + MARK), MARK)
+
+
+def without(text: str, lengths: str, gone: str) -> Column:
+    """(kept, removed) of a text, from the lengths of its units and the numbers of those that go."""
 
     @F.arrow_udf("kept string, removed array<struct<number:int,first:int,length:int>>")
-    def cut(texts: pa.Array, gone_units: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, lengths: pa.Array, gone_units: pa.Array) -> pa.Array:
         out = []
-        for text, gone in zip(texts.to_pylist(), gone_units.to_pylist()):
-            first, kept, removed, gone = 0, [], [], set(gone or ())
-            for number, unit in enumerate((text or "").split(separator)):
+        for text, sizes, gone in zip(texts.to_pylist(), lengths.to_pylist(), gone_units.to_pylist()):
+            if not gone:
+                out.append({"kept": text, "removed": []})
+                continue
+            first, kept, removed, gone = 0, [], [], set(gone)
+            for number, size in enumerate(sizes):
                 if number in gone:
-                    removed.append({"number": number, "first": first, "length": len(unit)})
+                    removed.append({"number": number, "first": first, "length": size})
                 else:
-                    kept.append(unit)
-                first += len(unit) + len(separator)
-            out.append({"kept": separator.join(kept), "removed": removed})
+                    kept.append(text[first : first + size])
+                first += size
+            out.append({"kept": "".join(kept), "removed": removed})
         return pa.array(out, _CUT_TYPE)
 
-    return cut
+    return cut(text, lengths, gone)
 
 
 def text_digest(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", separator: str = LINE) -> DataFrame:
-    """One row per input row: id, text, n_units, kept (the text without its redundant units, joined by the
-    separator), removed (structs of number, first and length in characters of the original text, in order).
+def dedup_units(documents: DataFrame, id_col: str = "doc_id", end: str = SENTENCE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per input row: id, text, n_units, kept (the text without its redundant units), removed (structs of number,
+    first and length in characters of the original text, in order).
 
-    Rows that repeat both id and text are one document and come back as often as they stand there. A null text counts as empty: one empty unit, which stays. Null
-    ids come last in the order of places. Columns other than id and text are ignored. Only digests are grouped, and
-    counts and first places are combined before the shuffle, so a line of a third of all texts is no hot group.
+    Rows that repeat both id and text are one document and come back as often as they stand there. A null text counts as
+    empty: one empty unit, which stays. Null ids come last in the order of places. Columns other than id and text are
+    ignored. Only digests are grouped, and counts and first places are combined before the shuffle, so a unit of a third of
+    all texts is no hot group.
     """
     docs = documents.select(F.col(id_col).alias("_id"), text_digest("text").alias("_digest"), F.coalesce("text", F.lit("")).alias("text"))
-    units = docs.select("_id", "_digest", F.posexplode(F.split("text", separator)).alias("number", "unit"))
-    units = units.select("_id", "_digest", "number", normal_form(F.col("unit")).alias("form"))
+    cut = docs.select("_id", "_digest", F.posexplode(units("text", end)).alias("number", "unit"))
+    formed = cut.select("_id", "_digest", "number", normal_form(F.col("unit")).alias("form"))
+    counted = formed.where((F.col("form") != "") & (F.size(F.split("form", " ")) >= least_words))
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_digest", "number")
-    # an empty form is a digest of its own for each unit: it has no equal, and it isn't a hot one
-    digest = F.when(F.col("form") == "", F.lit(None)).otherwise(F.sha2(F.col("form").cast("binary"), 256))
-    hashed = settled(units.select(digest.alias("unit_digest"), place.alias("place")))
-    first = hashed.where("unit_digest IS NOT NULL").groupBy("unit_digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    hashed = settled(counted.select(F.sha2(F.col("form").cast("binary"), 256).alias("unit_digest"), place.alias("place")))
+    first = hashed.groupBy("unit_digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     repeated = first.where(F.col("first") != F.col("last")).select("unit_digest", "first")
     later = hashed.join(repeated, "unit_digest").where(F.col("place") != F.col("first")).select("place.*").distinct()
     gone = later.groupBy("_id", "_digest").agg(F.collect_list("number").alias("gone"))
     gone = gone.withColumnsRenamed({"_id": "_id2", "_digest": "_digest2"})
     joined = docs.join(gone, docs["_id"].eqNullSafe(gone["_id2"]) & (docs["_digest"] == gone["_digest2"]), "left")
-    cut = joined.select("_id", "text", "gone", without(separator)("text", "gone").alias("c"))
-    return cut.select(F.col("_id").alias(id_col), "text", F.size(F.split("text", separator)).cast("long").alias("n_units"), "c.kept", "c.removed")
+    sized = joined.select("_id", "text", "gone", F.transform(units("text", end), F.length).alias("lengths"))
+    result = sized.select("_id", "text", F.size("lengths").cast("long").alias("n_units"), without("text", "lengths", "gone").alias("c"))
+    return result.select(F.col("_id").alias(id_col), "text", "n_units", "c.kept", "c.removed")

@@ -136,23 +136,25 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_LINES_SQL = """
-WITH units AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents
+_UNITS_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(regexp_replace(translate(coalesce(text, ''), chr(30), ' '), '([.!?][ \\t]+|\\n)', '\\1' || chr(30), 'g'), chr(30)) AS us FROM documents
+), cut AS (
+  SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS number FROM d
 ), formed AS (
-  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS form FROM units
+  SELECT *, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+', ' ', 'g'), ' ') AS form FROM cut
 ), ranked AS (
-  SELECT *, form <> '' AND row_number() OVER (PARTITION BY form ORDER BY doc_id, number) > 1 AS gone FROM formed
+  SELECT *, len(string_split(form, ' ')) >= 12 AND row_number() OVER (PARTITION BY form ORDER BY doc_id, number) > 1 AS gone FROM formed
 )
 SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, CAST(coalesce(sum(length(unit)) FILTER (gone), 0) AS BIGINT) AS n_removed_chars,
-  sha256(coalesce(string_agg(unit, chr(10) ORDER BY number) FILTER (NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(unit, '' ORDER BY number) FILTER (NOT gone), '')) AS kept_sha256
 FROM ranked GROUP BY doc_id
 """
 
 
-@query("op7_substring_dedup", _LINES_SQL)
+@query("op7_substring_dedup", _UNITS_SQL)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    cut = line_dedup.dedup_units(table(spark, sf_dir, "documents", "doc_id", "text"))
     removed_chars = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["length"])
     return cut.select(
         "doc_id",

@@ -1,5 +1,7 @@
 """Operators that SQL can't express, against brute force, the public library or held-out accuracy; and the edge cases."""
+import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -373,11 +375,45 @@ def test_clean_keeps_clean_rows(spark):
 
 def test_lines_keep_the_first_occurrence(spark):
     d = docs(spark, ["A  line\n\nother\na line ", "other\nnew", None, "", "other\nnew"], [2, 1, 3, None, 1])
-    rows = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    cut = line_dedup.dedup_units(d, end=line_dedup.LINE, least_words=0)
+    rows = {r.doc_id: r for r in cut.collect()}
     assert rows[1].kept == "other\nnew" and rows[1].removed == []
-    assert rows[2].kept == "A  line\n" and [(s.number, s.first, s["length"]) for s in rows[2].removed] == [(2, 9, 5), (3, 15, 7)]
+    assert rows[2].kept == "A  line\n\n" and [(s.number, s.first, s["length"]) for s in rows[2].removed] == [(2, 9, 6), (3, 15, 7)]
     assert rows[3].kept == "" and rows[3].n_units == 1 and rows[None].kept == ""
-    assert line_dedup.dedup_lines(d).count() == 5 and line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    assert cut.count() == 5 and line_dedup.dedup_units(docs(spark, [])).count() == 0
+
+
+def plain_units(texts, ids, end, least):
+    """kept and removed of each row by plain Python."""
+    cut = [re.split("\x1e", re.sub(end, "\\1\x1e", (t or "").replace("\x1e", " "))) for t in texts]
+    forms = [[re.sub(r"[\x09-\x0D\x20]+", " ", u.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).strip(" ") for u in us] for us in cut]
+    digest = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+    first = {}
+    for i, g, fs in sorted(zip(ids, digest, forms), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        for n, f in enumerate(fs):
+            first.setdefault(f, (i, g, n))
+    out = []
+    for i, g, us, fs, t in zip(ids, digest, cut, forms, texts):
+        kept, removed, at = "", [], 0
+        for n, (u, f) in enumerate(zip(us, fs)):
+            if f and len(f.split(" ")) >= least and first[f] != (i, g, n):
+                removed.append((n, at, len(u)))
+            else:
+                kept += (t or "")[at : at + len(u)]
+            at += len(u)
+        out.append((i, kept, removed))
+    return out
+
+
+@pytest.mark.parametrize("end,least", [("SENTENCE", 3), ("SENTENCE", 0), ("LINE", 2), ("PARAGRAPH", 0)])
+def test_units_against_plain_python(spark, end, least):
+    rng = random.Random(8)
+    parts = ["One two three.", "one  TWO three! ", "a b", "é ü\t ö. ", "\n", "\n\n", "x\x1ey z w. ", "\x1e", "...", "What? ", " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 9))) for _ in range(60)] + [None, "", "Long words here again. " * 20_000]
+    ids = [rng.choice([None, 1, 2, 3]) if rng.random() < 0.1 else n for n in range(len(texts))]
+    got = line_dedup.dedup_units(docs(spark, texts, ids), end=getattr(line_dedup, end), least_words=least).collect()
+    mine = [(r.doc_id, r.kept, [(s.number, s.first, s["length"]) for s in r.removed]) for r in got]
+    assert sorted(mine, key=str) == sorted(plain_units(texts, ids, getattr(line_dedup, end), least), key=str)
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
