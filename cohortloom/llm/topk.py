@@ -34,27 +34,40 @@ def usable(embedding: str) -> Column:
     return F.col(embedding).isNotNull() & (F.size(embedding) > 0) & ~F.exists(F.col(embedding), bad)
 
 
+def number_type(queries: np.ndarray, rows: np.ndarray) -> type:
+    """Floats where every sum of products stays below 2^53 and so is exact, else 64-bit integers; refused beyond those."""
+    reach = lambda v: max(abs(int(v.max())), abs(int(v.min())), 1)
+    most = reach(queries) * reach(rows) * rows.shape[1]
+    if most >= 1 << 63:
+        raise OverflowError("inner products of these vectors pass 64 bits")
+    return np.float64 if most < 1 << 53 else np.int64
+
+
 def threshold_scan(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best rows other than ``own``; ``order[j]`` lists the rows by ascending component j."""
-    n, dims = rows.shape
-    seen = np.zeros(n, bool)
-    best_id, best = np.zeros(0, np.int64), np.zeros(0, np.float64)
-    lists = np.where((query > 0)[:, None], order[:, ::-1], order)
-    use = np.flatnonzero(query)
+    n = len(rows)
+    seen, met = np.zeros(n, bool), np.zeros(n, bool)
+    best_id, best = np.zeros(0, np.int64), np.zeros(0, rows.dtype)
+    up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)  # lists read from their ends, and from their beginnings
     depth, done = FIRST_DEPTH, 0
     while True:
         depth = min(depth, n)
-        met = np.unique(lists[use, done:depth]) if len(use) else np.arange(n)
-        new = met[~seen[met]]
+        if len(up) or len(down):
+            met[order[up, n - depth : n - done]] = True
+            met[order[down, done:depth]] = True
+        else:  # every score is 0
+            met[:], depth = True, n
+        new = np.flatnonzero(met & ~seen)
         seen[new] = True
         new = new[ids[new] != own]
         best_id, best = np.concatenate([best_id, ids[new]]), np.concatenate([best, rows[new] @ query])
         if len(best) > k:
-            top = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[top], best[top]
-        if depth == n or not len(use):
+            near = np.flatnonzero(best >= np.partition(best, len(best) - k)[len(best) - k])
+            near = near[np.lexsort((best_id[near], -best[near]))[:k]]
+            best_id, best = best_id[near], best[near]
+        if depth == n:
             break
-        bound = float(rows[lists[use, depth - 1], use] @ query[use])
+        bound = rows[order[up, n - depth], up] @ query[up] + rows[order[down, depth - 1], down] @ query[down]
         if len(best) >= k and bound < best.min():
             break
         done, depth = depth, depth * 2
@@ -66,12 +79,14 @@ def _scan_block(k: int):
     def scan(table: pa.Table) -> pa.Table:
         is_query = table["is_query"].to_numpy(zero_copy_only=False)
         ids = table["vec_id"].to_numpy()
-        rows = np.stack(table["v"].to_numpy(zero_copy_only=False)).astype(np.float64)
+        rows = np.stack(table["v"].to_numpy(zero_copy_only=False))
         queries, query_ids = rows[is_query], ids[is_query]
         rows, ids = rows[~is_query], ids[~is_query]
         out = [np.zeros((3, 0), np.int64)]
-        if len(ids):
-            order = np.argsort(rows, axis=0, kind="stable").T.copy()
+        if len(ids) and len(queries):
+            kind = number_type(queries, rows)
+            queries, rows = queries.astype(kind), rows.astype(kind)
+            order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
             for q, own in zip(queries, query_ids):
                 best_id, best = threshold_scan(q, own, ids, rows, order, k)
                 out.append(np.stack([np.full(len(best), own), best_id, best.astype(np.int64)]))
@@ -86,7 +101,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "
 
     Both inputs need an id and an array of numbers; other columns are ignored. Rows with a null id, a null or empty
     vector, or a null or non-finite component take no part. Only vectors of equal length meet. Repeated equal rows
-    count once. A candidate with the query's own id is left out. A query without candidates has no rows.
+    count once. Inner products that could pass 64 bits are refused with an error. A candidate with the query's own id is left out. A query without candidates has no rows.
     """
     def ready(df: DataFrame) -> DataFrame:
         return df.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), integer_vector(vector_col).alias("v")).distinct()

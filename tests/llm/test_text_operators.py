@@ -430,3 +430,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
             scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))
             expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored[:5])}
     assert got == expected
+
+
+def test_top_k_of_large_numbers_and_of_nothing(spark):
+    big = [[float(1 << 20), 1.0], [float(1 << 20), 1.0 + 1 / 256], [0.5, 0.25]]
+    df = spark.createDataFrame([(n, v, "own", 7) for n, v in enumerate(big)], "vec_id long, embedding array<double>, v string, rank int")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df.where("vec_id = 0"), df).collect()}
+    a = [[int(np.floor(256 * x)) for x in v] for v in big]
+    assert got == {(0, 1): (1, sum(x * y for x, y in zip(a[0], a[1]))), (0, 2): (2, sum(x * y for x, y in zip(a[0], a[2])))}
+    assert topk.number_type(np.array(a[:1]), np.array(a)) is np.int64
+    with pytest.raises(OverflowError):
+        topk.number_type(np.array([[1 << 40]]), np.array([[1 << 40]]))
+    assert topk.top_k(df.where("false"), df).count() == 0 and topk.top_k(df, df.where("false")).count() == 0
+    assert topk.top_k(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
