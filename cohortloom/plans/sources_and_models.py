@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom import session
 from cohortloom.functions.numeric import argmax_low, bound
 from cohortloom.operators import boosting, linear, metrics, models, tables
-from cohortloom.sources import files, sinks
+from cohortloom.sources import files, sinks, versions
 from cohortloom.sources.tables import read_table
 
 from .inputs import FEATURES, SAMPLES, VECTORS, features, r, samples, table, vectors
@@ -72,8 +72,21 @@ def a05(spark, sf):
 @query("a06_write_table", f"WITH {SAMPLES} SELECT event_id, value, stream FROM samples")
 def a06(spark, sf):
     path = _folder(spark, "table")
-    sinks.write_table(samples(spark, sf).select("event_id", "value", "stream"), path, ["event_id"], ["stream"])
-    return spark.read.parquet(path)
+    s = samples(spark, sf).select("event_id", "value", "stream")
+    versions.publish(s.withColumn("value", -F.col("value")), path)  # replaced by the next one
+    versions.publish(s, path, ["event_id"], ["stream"])
+    return versions.read(spark, path)
+
+
+@query("a06_versions", f"""
+WITH {SAMPLES} SELECT CAST(v AS BIGINT) AS version, count(*) AS rows, round(sum(value) * v, 4) + 0.0 AS total FROM samples, (SELECT unnest([1, 2]) AS v) GROUP BY v""")
+def a06_versions(spark, sf):
+    """Every published version stays readable under its number, with the rows its manifest names."""
+    path = _folder(spark, "versions")
+    s = samples(spark, sf).select("event_id", "value", "stream")
+    first, second = versions.publish(s, path), versions.publish(s.withColumn("value", 2 * F.col("value")), path)
+    totals = [versions.read(spark, path, v).agg(r(F.sum("value"), 4).alias("total")).withColumn("version", F.lit(v).cast("long")) for v in (first, second)]
+    return versions.history(spark, path).select("version", "rows").join(totals[0].unionByName(totals[1]), "version")
 
 
 WIDE = [f"f{i:02d}" for i in range(64)]
@@ -93,12 +106,12 @@ SELECT * FROM (SELECT 'CREATED' AS first_write, 'REUSED' AS second_write, 'REFUS
 def a08(spark, sf):
     path = _folder(spark, "frozen")
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    first, second = sinks.write_frozen(o, path), sinks.write_frozen(o.orderBy(F.col("o_orderkey").desc()), path)
+    first, second = versions.publish_once(o, path), versions.publish_once(o.orderBy(F.col("o_orderkey").desc()), path)
     try:
-        third = sinks.write_frozen(o.withColumn("o_orderstatus", F.lit("X")), path)
+        third = versions.publish_once(o.withColumn("o_orderstatus", F.lit("X")), path)
     except ValueError:
         third = "REFUSED"
-    count = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+    count = versions.read(spark, path).agg(F.count(F.lit(1)).alias("rows"))
     return count.select(F.lit(first).alias("first_write"), F.lit(second).alias("second_write"), F.lit(third).alias("changed_write"), "rows")
 
 

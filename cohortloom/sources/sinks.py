@@ -1,14 +1,11 @@
-"""Sinks. Spark's commit protocol makes a finished write appear as a whole."""
+"""Sinks. Spark's commit protocol makes a finished write appear as a whole; ``versions`` replaces tables as a whole."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.audit import table_hash
-
 
 def write_table(df: DataFrame, path: str, sort: Sequence[str] = (), partition_by: Sequence[str] = (), mode: str = "overwrite", splits: int = 64) -> None:
     """Parquet with rows in a fixed order inside each file."""
@@ -29,24 +26,3 @@ def export_wide(long: DataFrame, keys: Sequence[str], feature: str, value: str,
 
 def pivot_wide(long: DataFrame, keys: Sequence[str], feature: str, value: str, features: Sequence[str]) -> DataFrame:
     return long.groupBy(*keys).pivot(feature, list(features)).agg(F.first(value))
-
-
-def _stored(spark: SparkSession, path: str):
-    try:
-        return spark.read.parquet(path).first()
-    except AnalysisException:
-        return None
-
-
-def write_frozen(df: DataFrame, path: str) -> str:
-    """Write once: an equal table is reused, a different one refused. Equality is the order-free content hash."""
-    spark = df.sparkSession
-    digest = table_hash(df).first()
-    known = _stored(spark, f"{path}_digest")
-    if known is not None:
-        if known.asDict() != digest.asDict():
-            raise ValueError(f"frozen table at {path} differs; refusing to overwrite")
-        return "REUSED"
-    df.write.mode("errorifexists").parquet(path)
-    spark.createDataFrame([digest]).coalesce(1).write.mode("errorifexists").parquet(f"{path}_digest")
-    return "CREATED"

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cohortloom.operators import audit, folds, hdc, joins, metrics, models, ordered, prep, signal, stats, tables
-from cohortloom.sources import sinks
+from cohortloom.sources import versions
 
 
 def prominent(x, limit):
@@ -387,10 +387,10 @@ def test_table_hash_ignores_order_and_sees_changes(spark):
 
 def test_frozen_table(spark, tmp_path):
     df, path = spark.range(10), str(tmp_path / "frozen")
-    assert sinks.write_frozen(df, path) == "CREATED"
-    assert sinks.write_frozen(df.orderBy(F.col("id").desc()), path) == "REUSED"
+    assert versions.publish_once(df, path) == "CREATED"
+    assert versions.publish_once(df.orderBy(F.col("id").desc()), path) == "REUSED"
     with pytest.raises(ValueError):
-        sinks.write_frozen(spark.range(11), path)
+        versions.publish_once(spark.range(11), path)
 
 
 def test_schedule_variance_kinds(spark):
