@@ -201,15 +201,29 @@ def row_numbers(
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, rows_per_chunk=rows_per_chunk)
 
 
-def order_key(t: str, tie: str, scale: float = 1e9) -> Column:
-    """Time and tie-breaker as one decimal, for ``min_by`` / ``max_by`` over raw rows.
+#: Times nearer to 0 than two to the minus this count as 0 in ``order_key``, times beyond two to this as equal.
+EXPONENTS = 500
+
+
+def order_key(t: str, tie: str) -> Column:
+    """Time and tie-breaker as one decimal, for ``min_by`` / ``max_by`` over raw rows, in the order of (t, tie).
 
     A struct would do, but its aggregation buffer cannot be updated in place, so Spark would sort
-    every raw row before the first aggregation; a decimal keeps it a hash aggregation. Times are
-    kept to 1 / ``scale``: a nanosecond for seconds, 0.1 ms for days.
+    every raw row before the first aggregation; a decimal keeps it a hash aggregation. A time is
+    taken apart into exponent and mantissa, which together order as the time does: no digit is
+    lost, whatever its unit. The tie-breaker is a whole number of 18 digits at most.
     """
-    whole = F.round(F.col(t) * scale).cast("decimal(19,0)")
-    return (whole * F.lit("10000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(tie).cast("decimal(19,0)")
+    far = 2.0**EXPONENTS
+    size = F.least(F.abs(F.col(t).cast("double")), F.lit(far))
+    guess = F.floor(F.log2(F.greatest(size, F.lit(1 / far))))
+    scaled = size / F.pow(F.lit(2.0), guess)  # 1 up to 2, but for a logarithm that was rounded to the next whole number
+    step = F.when(scaled >= 2, 1).when(scaled < 1, -1).otherwise(0)
+    mantissa = F.when(scaled >= 2, scaled / 2).when(scaled < 1, scaled * 2).otherwise(scaled)
+    bits = F.lit(1 << 52)
+    place = (guess + step + EXPONENTS + 1).cast("long") * bits + ((mantissa - 1) * bits.cast("double")).cast("long")
+    place = F.when(size < 1 / far, F.lit(0).cast("long")).otherwise(place)
+    signed = F.when(F.col(t) < 0, -place).otherwise(place).cast("decimal(19,0)")
+    return (signed * F.lit("10000000000000000000").cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(tie).cast("decimal(19,0)")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.operators import ordered
 
@@ -97,3 +98,22 @@ def test_quantiles_and_ranks(skewed, limit):
     both = ranks.merge(want, on=["k", "v"])
     assert len(both) == len(ranks) == len(want)
     np.testing.assert_allclose(both.avg_rank, both.r)
+
+
+def test_order_key_orders_any_times(spark):
+    rng = np.random.default_rng(6)
+    base = [0.0, -0.0, 1.0, 2.0, 0.5, 1.7e12, 1.7e18, 1e-30, 1e300, 5e-324, 86400.0, 719529.25]
+    times = base + [float(np.nextafter(x, d)) for x in base for d in (-np.inf, np.inf)] + [-x for x in base] + [float(2.0**k) for k in range(-60, 60)]
+    times += [float(np.nextafter(2.0**k, 0)) for k in range(-60, 60)] + rng.normal(size=200).tolist() + (1.7e12 + rng.integers(0, 50, 60)).tolist()
+    rows = [(t, int(n)) for t in times for n in (0, 3, 10**18 - 1)]
+    df = spark.createDataFrame(rows, "t double, n long").withColumn("k", ordered.order_key("t", "n"))
+    got = [(r.t, r.n) for r in df.orderBy("k").collect()]
+    near = lambda t: 0.0 if abs(t) < 2.0**-500 else float(np.clip(t, -(2.0**500), 2.0**500))
+    assert [(near(t), n) for t, n in got] == sorted((near(t), n) for t, n in rows)
+
+
+def test_order_key_takes_epoch_milliseconds(spark):
+    df = spark.createDataFrame([("a", 1.7e12 + i, i, float(i)) for i in range(20)], "g string, t double, n long, v double")
+    key = ordered.order_key("t", "n")
+    row = df.groupBy("g").agg(F.min_by("v", key).alias("first"), F.max_by("v", key).alias("last")).first()
+    assert (row["first"], row["last"]) == (0.0, 19.0)
