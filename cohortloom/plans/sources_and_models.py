@@ -178,13 +178,13 @@ def m03_certificate(spark, sf):
 @query("m04_random_forest_classifier")
 def m04(spark, sf):
     v, train = _data(spark, sf, "target_class")
-    return _classified(models.forest_classifier(train, trees=30, depth=8), v)
+    return _classified(models.forest_classifier(train, trees=200, depth=20), v)
 
 
 @query("m04_random_forest_regressor")
 def m04_reg(spark, sf):
     v, train = _data(spark, sf, "target_score")
-    return models.regression_output(models.forest_regressor(train, trees=30, depth=8).transform(v), ["vec_id", "target_score"])
+    return models.regression_output(models.forest_regressor(train, trees=200, depth=20).transform(v), ["vec_id", "target_score"])
 
 
 @query("m06_boosted_classifier")
