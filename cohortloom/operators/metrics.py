@@ -150,6 +150,10 @@ def head_agreement(pred: DataFrame, keys: Sequence[str], cls: str = "y_pred", sc
     )
 
 
+#: Seeds that share one bit mask.
+SEEDS_A_MASK = 60
+
+
 def canonicalize(pred: DataFrame, keys: Sequence[str], seeds: Sequence[int], keep: Sequence[str] = (), labels: Sequence[int] = LABELS) -> DataFrame:
     """One row per key from seed-level rows: mean scores then argmax, mean raw score then clip.
 
@@ -157,12 +161,18 @@ def canonicalize(pred: DataFrame, keys: Sequence[str], seeds: Sequence[int], kee
     """
     means = [F.round(F.avg(F.get("scores", F.lit(k))), 9).alias(f"_s{k}") for k in labels]
     place = F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("seed")).cast("int")
-    bit = F.when(place > 0, F.element_at(F.array(*[F.lit(1 << i) for i in range(len(seeds))]), place)).otherwise(F.lit(1 << len(seeds)))
+    # which seeds a key holds, as bits of as many long numbers as they need
+    cuts = range(0, len(seeds), SEEDS_A_MASK)
+    one = F.lit(1).cast("long")
+    masks = [
+        F.bit_or(F.when((place > c) & (place <= c + SEEDS_A_MASK), F.call_function("shiftleft", one, place - 1 - c))).alias(f"_seeds{c}") for c in cuts
+    ]
     g = pred.groupBy(*keys).agg(
-        F.bit_or(bit).alias("_seeds"), F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in keep], *means,
-        F.round(F.avg("y_pred_raw"), 9).alias("_raw"),
+        F.count(F.lit(1)).alias("_n"), *masks, *[F.first(c).alias(c) for c in keep], *means, F.round(F.avg("y_pred_raw"), 9).alias("_raw")
     )
-    exact = (F.col("_seeds") == (1 << len(seeds)) - 1) & (F.col("_n") == len(seeds))
+    exact = F.col("_n") == len(seeds)
+    for c in cuts:
+        exact = exact & F.coalesce(F.col(f"_seeds{c}") == (1 << min(SEEDS_A_MASK, len(seeds) - c)) - 1, F.lit(False))
     g = g.where(F.when(exact, F.lit(True)).otherwise(F.raise_error(F.lit("a run does not hold exactly the expected seeds")).cast("boolean")))
     raw = F.col("_raw")
     scores = F.array(*[F.col(f"_s{k}") for k in labels])

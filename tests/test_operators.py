@@ -440,3 +440,13 @@ def test_swapped_csv_header_fails(spark, tmp_path):
     (tmp_path / "b.csv").write_text("t,eda,ecg\n1,2,3\n")
     with pytest.raises(Exception, match="(?i)header"):
         files.read_stream_files(spark, str(tmp_path), ["t", "ecg", "eda"]).collect()
+
+
+def test_many_seeds_are_told_apart(spark):
+    seeds = list(range(100, 230))
+    rows, schema = seed_rows(seeds)
+    rows = [(run, seed, [0.1, 0.4, 0.45, 0.0], raw, y, t) for run, seed, _, raw, y, t in rows]
+    assert metrics.canonicalize(spark.createDataFrame(rows, schema), ["run"], seeds).count() == 1
+    for wrong in (rows[:-1] + [rows[0]], rows[:-1], rows + [rows[3]], rows[1:] + [(1, 999, *rows[0][2:])]):
+        with pytest.raises(Exception, match="expected seeds"):
+            metrics.canonicalize(spark.createDataFrame(wrong, schema), ["run"], seeds).collect()
