@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,3 +29,13 @@ def words(text: Column) -> Column:
 def places(array: Column, holds: Callable[[Column], Column]) -> Column:
     """Places (from 0) of the elements for which ``holds`` is true, in order."""
     return F.filter(F.transform(array, lambda x, i: F.when(holds(x), i)), lambda i: i.isNotNull())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to clash with no column of ``df`` in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

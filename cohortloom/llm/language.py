@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import samples, textbytes
+from cohortloom.llm import columns, samples, textbytes
 
 SLOTS = 1 << 15
 SMOOTHING = 0.5
@@ -203,9 +203,10 @@ def identify(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, modulus: int
     """``documents`` with held_out, lang_pred and score; every row once, repeated rows included.
 
     Models are learnt from about ``sample_rows`` rows with a language outside the held-out remainder, dealt over the
-    languages so that each has a model; rows with a null id are learnt from too. Without any such row every text is ``und``. Columns named like the three are replaced.
+    languages so that each has a model; rows with a null id are learnt from too. Without any such row every text is ``und``. Columns named like the three are replaced, all others stay.
     """
     known = documents.where(F.col("lang").isNotNull() & ~samples.is_held_out("doc_id", modulus, rest))
     names, table = train(samples.bounded_by(known.select("doc_id", "text", "lang"), "lang", ["doc_id", "text"], sample_rows, LEAST_ROWS))
-    out = documents.withColumn("held_out", samples.is_held_out("doc_id", modulus, rest)).withColumn("_lang", predict("text", names, table))
-    return out.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("score", F.col("_lang.score")).drop("_lang")
+    (own,) = columns.fresh(documents, "_predicted")
+    out = documents.withColumn("held_out", samples.is_held_out("doc_id", modulus, rest)).withColumn(own, predict("text", names, table))
+    return out.withColumn("lang_pred", F.col(f"{own}.lang_pred")).withColumn("score", F.col(f"{own}.score")).drop(own)

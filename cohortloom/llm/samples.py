@@ -31,7 +31,7 @@ def bounded(rows: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def bounded_by(rows: DataFrame, group: str, keys: list[str], bound: int, least: int) -> DataFrame:
-    """About ``bound`` rows at most, dealt over the values of ``group``: all rows when there are no more than that.
+    """About ``bound`` different rows at most, dealt over the values of ``group``: all when there are no more rows than that.
 
     Values with few rows keep them all, the others give the same expected number each, at least ``least``, so that no value
     is lost at any size; with very many values the bound gives way to that. Rows are picked by a hash of ``keys``; of rows
@@ -39,7 +39,7 @@ def bounded_by(rows: DataFrame, group: str, keys: list[str], bound: int, least:
     """
     counts = {r[0]: r["n"] for r in rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(counts.values()) <= bound:
-        return rows
+        return rows.dropDuplicates([group, *keys])
     left, cap = bound, 0
     ordered = sorted(counts.values())
     for i, n in enumerate(ordered):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm import pieces, textbytes
+from cohortloom.llm import columns, pieces, textbytes
 from cohortloom.llm.components import settled
 from cohortloom.llm.suffix_array import common_prefixes, suffix_array
 
@@ -403,16 +403,15 @@ def dedup(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Ids are whole numbers; a null id comes after all others. Rows that repeat both id and text are one document, and come
     back as often as they stand there; different texts of one id are ordered by a digest. A null text is an empty one.
-    Texts of fewer than 100 bytes lose nothing. Columns of the input named kept or removed are replaced.
+    Texts of fewer than 100 bytes lose nothing. Columns of the input named kept or removed are replaced, all others come back as they were.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     own = documents.drop("kept", "removed")
-    keyed = own.withColumns({
-        "_no_id": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_digest": F.xxhash64(text, F.octet_length(text)),
-    })
-    key = [F.col(f"_{c}").alias(c) for c in _KEY]
-    spans = repeated_spans(keyed.select(*key, text.alias("text")))
-    spans = spans.groupBy(*[F.col(c).alias(f"_{c}") for c in _KEY]).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
-    cut = F.arrow_udf(_cut_out, "kept binary, removed array<struct<start:int,length:int>>")
-    out = keyed.join(spans, [f"_{c}" for c in _KEY], "left").withColumn("_cut", cut(text, F.col("_spans")))
-    return out.select(*own.columns, "_cut.kept", "_cut.removed")
+    *key, found, cut = columns.fresh(own, *[f"_{c}" for c in _KEY], "_spans", "_cut")
+    values = [F.col(id_col).isNull(), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.xxhash64(text, F.octet_length(text))]
+    keyed = own.withColumns(dict(zip(key, values)))
+    spans = repeated_spans(keyed.select(*[F.col(k).alias(c) for k, c in zip(key, _KEY)], text.alias("text")))
+    spans = spans.groupBy(*[F.col(c).alias(k) for k, c in zip(key, _KEY)]).agg(F.collect_list(F.struct("start", "length")).alias(found))
+    without = F.arrow_udf(_cut_out, "kept binary, removed array<struct<start:int,length:int>>")
+    out = keyed.join(spans, key, "left").withColumn(cut, without(text, F.col(found)))
+    return out.select(*own.columns, f"{cut}.kept", f"{cut}.removed")

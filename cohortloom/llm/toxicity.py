@@ -1,7 +1,9 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
 Words become symbols: insult, threat, target, negation, report. The insult symbols come from a lexicon of words and word
-beginnings that is learnt from labelled texts; the others are closed word lists. Five transducers read the symbols of a
+beginnings that is learnt from labelled texts; the others are closed word lists. A word enters the lexicon by the clauses in
+which it is neither negated nor reported, so an insult that clean texts quote or deny is one all the same; a word that is
+harmless by itself may enter for the clauses in which it has a target. Five transducers read the symbols of a
 clause in turn, each passing its output to the next:
 
   negation   marks what follows a negating word within ``REACH`` words,
@@ -10,8 +12,9 @@ clause in turn, each passing its output to the next:
   threat     turns a target word followed by a threatening verb (or the reverse) into a threat,
   insult     turns insults into matches.
 
-A match carries its lexicon weight and the marks it has gathered. How much a set of marks changes a match's weight is
-learnt too (``MARK_PRIOR`` rows of evidence keep the hand-set factors where the sample says little). A text's score is the
+A match carries its lexicon weight and the marks it has gathered. How much a set of marks changes the odds of a match is
+learnt too, from texts that no unmarked match explains (``MARK_PRIOR`` rows of evidence keep the hand-set factors where the
+sample says little). A text's score is the
 noisy-or of its matched clauses, so words outside a matched clause count for nothing.
 """
 from __future__ import annotations
@@ -33,12 +36,14 @@ from cohortloom.llm import samples, textbytes
 SAMPLE_ROWS = 16_384
 THRESHOLD = 0.5
 REACH = 4
-#: A lexicon entry must explain this many toxic texts, and this share of them, that no earlier entry explains; and this
-#: share of the texts that have it must be toxic. A word in ``COMMON_SHARE`` of the toxic texts need not explain new ones,
+#: A lexicon entry must explain this many toxic texts that no earlier entry explains; and this share of the texts that have
+#: it, neither negated nor reported, must be toxic. A word in ``COMMON_SHARE`` of the toxic texts need not explain new ones,
 #: nor need a word beginning that also has the precision ``SURE``.
-LEAST_NEW, LEAST_SHARE, LEAST_PRECISION, COMMON_SHARE, SURE = 3, 0.01, 0.97, 0.03, 0.99
+LEAST_NEW, LEAST_PRECISION, COMMON_SHARE, SURE = 3, 0.97, 0.03, 0.99
 #: Lengths in bytes of the word beginnings that may enter the lexicon.
 PREFIXES = (4, 5, 6, 7, 8)
+#: Added to the length of an entry that counts only where the word has a target.
+TARGET_ONLY = 16
 MARK_PRIOR = 4.0
 NEGATED, REPORTED, TARGETED = 1, 2, 4
 #: Hand-set factors on the odds of a match, by mark.
@@ -68,7 +73,7 @@ def closed_words() -> dict[int, int]:
 
 @dataclass
 class Grammar:
-    """What training gives: entry codes with their precision (length 0: whole words), odds factors by marks, base rate."""
+    """What training gives: entry codes with their precision by length (0: whole words, see ``TARGET_ONLY``), odds factors by marks, base rate."""
 
     entries: dict[int, dict[int, float]] = field(default_factory=dict)
     factors: dict[int, float] = field(default_factory=lambda: {m: _prior_factor(m) for m in range(8)})
@@ -85,6 +90,7 @@ SLICE_BITS = 22
 
 def entry_codes(w: textbytes.Words, length: int) -> np.ndarray:
     """Codes of the words' beginnings of this many bytes, or of the whole words if it is 0."""
+    length %= TARGET_ONLY
     return (w.hashes() if length == 0 else w.prefix_hashes(length)) >> np.uint64(SLICE_BITS)
 
 
@@ -104,21 +110,55 @@ class _Lookup:
         return maybe[hit], self.values[at[hit]]
 
 
+def _closed() -> _Lookup:
+    return _Lookup({k: float(v) for k, v in closed_words().items()})
+
+
+def _clauses(data: np.ndarray) -> np.ndarray:
+    """Number of clause ends before each byte."""
+    ends = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_CLAUSE_END[data], out=ends[1:])
+    return ends
+
+
+def contexts(data: np.ndarray, w: textbytes.Words, closed: _Lookup) -> np.ndarray:
+    """The marks that the transducers would give each word, were it an insult."""
+    n = len(w.start)
+    if not n:
+        return np.zeros(0, np.int64)
+    clause, place = _clauses(data)[w.start], np.arange(n)
+    kind = np.zeros(n, np.int64)
+    at, value = closed(entry_codes(w, 0))
+    kind[at] = value.astype(int)
+    head = np.r_[True, (clause[1:] != clause[:-1]) | (w.doc[1:] != w.doc[:-1])]
+    first = np.maximum.accumulate(np.where(head, place, 0))
+
+    def since(symbol: int) -> np.ndarray:
+        """Words since the last such word of the clause; more than the slice has, if there is none."""
+        seen = np.maximum.accumulate(np.where(kind == symbol, place, -1))
+        before = np.r_[-1, seen[:-1]]
+        return np.where(before >= first, place - before, n + REACH + 1)
+
+    return NEGATED * (since(NEGATION) <= REACH) + REPORTED * (since(REPORT) <= n) + TARGETED * (since(TARGET) <= REACH)
+
+
 def symbols(data: np.ndarray, offsets: np.ndarray, lookups: dict[int, _Lookup], closed: _Lookup):
     """Symbols of a slice in order: (text, clause, word, symbol, weight) arrays; words without a symbol are left out."""
     data = textbytes.fold_case(data)
     w = textbytes.words(data, offsets, _ALNUM)
     weight = np.zeros(len(w.start))
+    marks = contexts(data, w, closed) if max(lookups, default=0) >= TARGET_ONLY else None
     for length, lookup in lookups.items():
         at, value = lookup(entry_codes(w, length))
+        if length >= TARGET_ONLY:
+            aimed = marks[at] & TARGETED > 0
+            at, value = at[aimed], value[aimed]
         weight[at] = np.maximum(weight[at], value)
     kind = np.where(weight > 0, INSULT, 0)
     at, value = closed(entry_codes(w, 0))
     kind[at] = np.where(kind[at] == 0, value.astype(int), kind[at])
     marked = np.flatnonzero(kind)
-    ends = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(_CLAUSE_END[data], out=ends[1:])
-    return w.doc[marked], ends[w.start[marked]], marked, kind[marked], weight[marked]
+    return w.doc[marked], _clauses(data)[w.start[marked]], marked, kind[marked], weight[marked]
 
 
 def negation(stream: Iterator) -> Iterator:
@@ -175,7 +215,7 @@ def matches(clause: list[tuple[int, int, float]]) -> list[tuple[float, int]]:
 def matched_texts(texts: pa.Array, grammar: Grammar) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """(number, matches) of the texts that have any."""
     lookups = {n: _Lookup(t) for n, t in grammar.entries.items() if t}
-    closed = _Lookup({k: float(v) for k, v in closed_words().items()})
+    closed = _closed()
     for first, data, offsets in textbytes.slices(texts):
         doc, clause, word, kind, weight = symbols(data, offsets, lookups, closed)
         if not len(doc):
@@ -197,16 +237,28 @@ def probability(got: list[tuple[float, int]], grammar: Grammar) -> float:
     return 1 - clean
 
 
+_LENGTHS = [n + only for only in (0, TARGET_ONLY) for n in (0, *PREFIXES)]
+
+
+def _counts(size: np.ndarray, marks: np.ndarray, length: int) -> np.ndarray:
+    """Which words are evidence for entries of this length."""
+    plain = (size > max(1, length % TARGET_ONLY)) & (marks & (NEGATED | REPORTED) == 0)
+    return plain & (marks & TARGETED > 0) if length >= TARGET_ONLY else plain
+
+
 def _entry_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(length, hash, text hash, toxic) for every distinct word and word beginning of each text."""
+    """(length, entry, toxic) for every distinct word and word beginning that a text has, neither negated nor reported;
+    once more for those with a target."""
+    closed = _closed()
     for batch in batches:
         toxic = np.asarray(batch["label"].to_numpy(zero_copy_only=False)) == 1
         for first, data, offsets in textbytes.slices(batch["text"]):
-            w = textbytes.words(textbytes.fold_case(data), offsets, _ALNUM)
-            size = w.end - w.start
+            data = textbytes.fold_case(data)
+            w = textbytes.words(data, offsets, _ALNUM)
+            size, marks = w.end - w.start, contexts(data, w, closed)
             texts, number = np.unique(w.doc, return_inverse=True)  # fewer than the bytes of a slice
-            for length in (0, *PREFIXES):
-                ok = size > 1 if length == 0 else size > length
+            for length in _LENGTHS:
+                ok = _counts(size, marks, length)
                 entry = entry_codes(w, length)[ok]
                 pair = np.unique(entry << np.uint64(SLICE_BITS) | number[ok].astype(np.uint64))
                 doc = texts[(pair & np.uint64((1 << SLICE_BITS) - 1)).astype(np.int64)]
@@ -236,31 +288,38 @@ def train(labelled: DataFrame) -> Grammar:
     chosen = _cover(rows.where("label = 1"), tables)
     for length, entry in chosen:
         grammar.entries.setdefault(length, {})[entry] = float(tables[length][entry])
-    marks = rows.mapInArrow(lambda b: _mark_rows(b, grammar), "marks int, toxic boolean").groupBy("marks").agg(
-        F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("texts")
+    marks = rows.mapInArrow(lambda b: _mark_rows(b, grammar), "marks int, weight double, toxic boolean").groupBy("marks").agg(
+        F.sum(F.col("toxic").cast("long")).alias("bad"), F.count(F.lit(1)).alias("texts"), F.avg("weight").alias("weight")
     )
     for found in marks.collect():  # eight rows at most
-        prior = _prior_factor(found["marks"])
-        start = prior / (1 + prior)
-        share = (found["bad"] + MARK_PRIOR * start) / (found["texts"] + MARK_PRIOR)
-        grammar.factors[found["marks"]] = share / max(1e-6, 1 - share)
+        grammar.factors[found["marks"]] = learnt_factor(found["marks"], found["bad"], found["texts"], found["weight"])
     return grammar
 
 
+def learnt_factor(marks: int, bad: int, texts: int, weight: float) -> float:
+    """What these marks multiply the odds of a match by: the odds of the texts that have such matches at best, by the odds
+    that their mean weight promises, with ``MARK_PRIOR`` more texts that keep to the hand-set factor."""
+    promised = weight / max(1e-9, 1 - weight)
+    expected = promised * _prior_factor(marks)
+    share = (bad + MARK_PRIOR * expected / (1 + expected)) / (texts + MARK_PRIOR)
+    return share / max(1e-6, 1 - share) / max(1e-9, promised)
+
+
 def _cover(toxic: DataFrame, tables: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
     """Entries that explain the toxic texts, greedily: the one in most texts not explained yet comes next."""
-    lookups = {n: _Lookup(t) for n, t in tables.items()}
+    lookups, closed = {n: _Lookup(t) for n, t in tables.items()}, _closed()
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch["key"].to_numpy()
             for first, data, offsets in textbytes.slices(batch["text"]):
-                w = textbytes.words(textbytes.fold_case(data), offsets, _ALNUM)
-                size = w.end - w.start
+                data = textbytes.fold_case(data)
+                w = textbytes.words(data, offsets, _ALNUM)
+                size, marks = w.end - w.start, contexts(data, w, closed)
                 for length, lookup in lookups.items():
                     entry = entry_codes(w, length)
                     at, _ = lookup(entry)
-                    at = at[size[at] > (length or 1)]
+                    at = at[_counts(size[at], marks[at], length)]
                     columns = [pa.array(keys[first + w.doc[at]]), pa.array(np.full(len(at), length), pa.int32()), pa.array(entry[at].astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "length", "entry"])
 
@@ -269,27 +328,34 @@ def _cover(toxic: DataFrame, tables: dict[int, dict[int, float]]) -> list[tuple[
     for (length, entry), part in found.groupby(["length", "entry"])["doc"]:
         texts_of[int(length), int(entry)] = set(part)
     n = found["doc"].nunique()
-    least = max(LEAST_NEW, LEAST_SHARE * n)
-    chosen = [e for e, t in texts_of.items() if len(t) >= max(LEAST_NEW, COMMON_SHARE * n) and (e[0] == 0 or tables[e[0]][e[1]] >= SURE)]
+    chosen = [e for e, t in texts_of.items() if len(t) >= max(LEAST_NEW, COMMON_SHARE * n) and (e[0] % TARGET_ONLY == 0 or tables[e[0]][e[1]] >= SURE)]
     explained = set().union(*(texts_of[e] for e in chosen))
-    texts_of = {e: rest for e, t in texts_of.items() if len(rest := t - explained) >= least}
+    texts_of = {e: rest for e, t in texts_of.items() if len(rest := t - explained) >= LEAST_NEW}
     while texts_of:
-        # whole words before beginnings, longer beginnings before shorter ones, when they explain as much
-        best = max(texts_of, key=lambda e: (len(texts_of[e]), e[0] == 0, e[0], e[1]))
+        # entries without a condition first, whole words before beginnings, longer beginnings before shorter ones, when they explain as much
+        best = max(texts_of, key=lambda e: (len(texts_of[e]), e[0] < TARGET_ONLY, e[0] % TARGET_ONLY == 0, e[0], e[1]))
         new = texts_of.pop(best)
-        if len(new) < least:
+        if len(new) < LEAST_NEW:
             break
         chosen.append(best)
-        texts_of = {e: rest for e, t in texts_of.items() if len(rest := t - new) >= least}
+        texts_of = {e: rest for e, t in texts_of.items() if len(rest := t - new) >= LEAST_NEW}
     return chosen
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterator[pa.RecordBatch]:
+    """(marks, largest weight, toxic) per text and set of marks; where a match is neither negated nor reported, it alone is evidence."""
     for batch in batches:
         toxic = batch["label"].to_numpy(zero_copy_only=False) == 1
-        rows = [(marks, bool(toxic[i])) for i, got in matched_texts(batch["text"], grammar) for marks in {m for _, m in got}]
-        frame = pd.DataFrame(rows, columns=["marks", "toxic"])
-        yield pa.RecordBatch.from_arrays([pa.array(frame["marks"], pa.int32()), pa.array(frame["toxic"], pa.bool_())], names=["marks", "toxic"])
+        rows = []
+        for i, got in matched_texts(batch["text"], grammar):
+            plain = [m for m in got if not m[1] & (NEGATED | REPORTED)]
+            best: dict[int, float] = {}
+            for weight, marks in plain or got:
+                best[marks] = max(weight, best.get(marks, 0.0))
+            rows += [(marks, weight, bool(toxic[i])) for marks, weight in best.items()]
+        frame = pd.DataFrame(rows, columns=["marks", "weight", "toxic"])
+        columns = [pa.array(frame["marks"], pa.int32()), pa.array(frame["weight"], pa.float64()), pa.array(frame["toxic"], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["marks", "weight", "toxic"])
 
 
 def score(text: str | Column, grammar: Grammar) -> Column:
