@@ -45,6 +45,18 @@ COLUMN_PREFIXES = {
     "torso_body_accelerometer": ["accelerometry_torso_"],
 }
 
+# Whole column names, and parts of column names, that prove a modality is present.
+COLUMN_NAMES = {
+    "eye_tracking": ["fixationseq", "saccadeseq"],
+    "performance": ["glideslope_error_deg", "localizer_error_deg", "airspeed_error_kts", "total_error"],
+}
+COLUMN_PARTS = {
+    "control_input": [
+        "joystick", "yoke", "throttle", "rudder", "control_input", "flight_control", "stick_position", "pedal_position",
+        "aileron_command", "elevator_command",
+    ],
+}
+
 # Statistic suffixes of feature names.
 STATISTIC_SUFFIXES = [
     "sampling_rate_estimate", "missing_ratio", "num_missing", "sample_count", "kurtosis", "median", "range", "slope",
@@ -157,12 +169,16 @@ def classify_columns(columns: Column) -> Column:
     return _bind(_bind(_norm(F.concat_ws(" ", columns)), lambda t: _hits(t, COLUMN_KEYWORDS)), decide)
 
 
+def _named(pattern: str):
+    return lambda c: F.lower(F.trim(c)).rlike(pattern)
+
+
 def modality_evidence(columns: Column) -> Column:
-    """Sorted modalities proved by column-name prefixes."""
+    """Sorted modalities proved by prefixes, whole names or parts of column names. Aircraft state proves no control input."""
     found = []
-    for label, prefixes in COLUMN_PREFIXES.items():
-        pattern = "^(" + "|".join(prefixes) + ")"
-        found.append(F.when(F.exists(columns, lambda c: F.lower(F.trim(c)).rlike(pattern)), label))
+    for label in {**COLUMN_PREFIXES, **COLUMN_NAMES, **COLUMN_PARTS}:
+        patterns = [f"^{p}" for p in COLUMN_PREFIXES.get(label, [])] + [f"^{n}$" for n in COLUMN_NAMES.get(label, [])] + COLUMN_PARTS.get(label, [])
+        found.append(F.when(F.exists(columns, _named("|".join(patterns))), label))
     return F.array_sort(F.array_compact(F.array(*found)))
 
 

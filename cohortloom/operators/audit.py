@@ -16,6 +16,8 @@ EXPECTED_SCHEDULE = [
     ("01B", "001"), ("01B", "007"), ("01B", "012"), ("02B", "003"), ("02B", "008"), ("02B", "010"),
     ("03B", "002"), ("03B", "005"), ("03B", "011"), ("04B", "004"), ("04B", "006"), ("04B", "009"),
 ]
+# The schedule of each task.
+TASK_SCHEDULES = {"rest": [("000", "001"), ("000", "002")], "ils": EXPECTED_SCHEDULE}
 
 
 def availability(df: DataFrame, keys: Sequence[str], modality: str, modalities: Sequence[str]) -> DataFrame:
@@ -144,9 +146,27 @@ def schedule_variance(runs: DataFrame, subject: str, level: str, run: str, sched
     A lacking pair whose run number exists under another level is a mapping hole, otherwise the run
     is physically absent. Each subject carries its own small set; no subject x schedule grid is built.
     """
-    wanted = F.array(*[F.struct(F.lit(l).alias("level"), F.lit(r).alias("run")) for l, r in schedule])
+    return _variance(runs, [subject], level, run, _pairs(schedule))
+
+
+def task_schedule_variance(
+    runs: DataFrame, subject: str, task: str, level: str, run: str, schedules: Mapping[str, Sequence[tuple[str, str]]] = TASK_SCHEDULES
+) -> DataFrame:
+    """``schedule_variance`` of every subject and task by that task's schedule; all runs of a task without one are unexpected."""
+    every = _pairs([pair for schedule in schedules.values() for pair in schedule])
+    own = F.lit(None)
+    for name, schedule in schedules.items():
+        own = F.when(F.col(task) == name, _pairs(schedule)).otherwise(own)
+    return _variance(runs, [subject, task], level, run, F.coalesce(own, F.filter(every, lambda _: F.lit(False))))
+
+
+def _pairs(schedule: Sequence[tuple[str, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(l).alias("level"), F.lit(r).alias("run")) for l, r in schedule])
+
+
+def _variance(runs: DataFrame, keys: Sequence[str], level: str, run: str, wanted: Column) -> DataFrame:
     pair = F.struct(F.col(level).alias("level"), F.col(run).alias("run"))
-    s = runs.select(subject, level, run).distinct().groupBy(subject).agg(F.collect_set(pair).alias("_seen"))
+    s = runs.select(*keys, level, run).distinct().groupBy(*keys).agg(F.collect_set(pair).alias("_seen"))
     seen = F.col("_seen")
 
     def lacking(p: Column) -> Column:
@@ -155,7 +175,7 @@ def schedule_variance(runs: DataFrame, subject: str, level: str, run: str, sched
 
     extra = F.transform(F.array_except(seen, wanted), lambda p: F.struct(p["level"].alias("level"), p["run"].alias("run"), F.lit("unexpected").alias("status")))
     found = F.concat(F.transform(F.array_except(wanted, seen), lacking), extra)
-    return s.select(subject, F.explode(found).alias("_g")).select(subject, "_g.*")
+    return s.select(*keys, F.explode(found).alias("_g")).select(*keys, "_g.*")
 
 
 def reconcile_summary(summary: DataFrame, detail: DataFrame, keys: Sequence[str]) -> DataFrame:

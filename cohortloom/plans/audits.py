@@ -89,6 +89,25 @@ def q03(spark, sf):
     return audit.schedule_variance(runs, "subject", "level", "run")
 
 
+@query("q03_schedule_by_task", """
+WITH exp(task, level, run) AS (VALUES ('rest', '000', '001'), ('rest', '000', '002'), ('ils', '01B', '001'), ('ils', '01B', '007'), ('ils', '01B', '012'), ('ils', '02B', '003'),
+  ('ils', '02B', '008'), ('ils', '02B', '010'), ('ils', '03B', '002'), ('ils', '03B', '005'), ('ils', '03B', '011'), ('ils', '04B', '004'), ('ils', '04B', '006'), ('ils', '04B', '009')),
+runs AS (SELECT DISTINCT o_custkey AS subject, CASE o_orderpriority[1] WHEN '1' THEN 'rest' WHEN '5' THEN 'break' ELSE 'ils' END AS task,
+    CASE o_orderpriority[1] WHEN '1' THEN '000' ELSE '0' || (o_orderkey % 5 + 1) || 'B' END AS level, lpad(CAST(o_orderkey % CASE o_orderpriority[1] WHEN '1' THEN 3 ELSE 13 END + 1 AS VARCHAR), 3, '0') AS run FROM orders),
+subj AS (SELECT DISTINCT subject, task FROM runs)
+SELECT subject, task, level, run, CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.subject = s.subject AND r.task = s.task AND r.run = e.run) THEN 'schedule_mapping_hole' ELSE 'physically_absent_run' END AS status
+FROM subj s JOIN exp e USING (task) WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.subject = s.subject AND r.task = s.task AND r.run = e.run AND r.level = e.level)
+UNION ALL SELECT subject, task, level, run, 'unexpected' FROM runs r WHERE NOT EXISTS (SELECT 1 FROM exp e WHERE e.task = r.task AND e.level = r.level AND e.run = r.run)""")
+def q03_by_task(spark, sf):
+    o = table(spark, sf, "orders")
+    first = F.substring("o_orderpriority", 1, 1)
+    task = F.when(first == "1", "rest").when(first == "5", "break").otherwise("ils")
+    level = F.when(first == "1", "000").otherwise(F.concat(F.lit("0"), (F.col("o_orderkey") % 5 + 1).cast("string"), F.lit("B")))
+    run = F.lpad((F.col("o_orderkey") % F.when(first == "1", 3).otherwise(13) + 1).cast("string"), 3, "0")
+    runs = o.select(F.col("o_custkey").alias("subject"), task.alias("task"), level.alias("level"), run.alias("run"))
+    return audit.task_schedule_variance(runs, "subject", "task", "level", "run")
+
+
 @query("q04_reconcile_summary", """
 WITH a AS (SELECT doc_id, count(*) AS s FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id),
 b AS (SELECT doc_id, count(*) AS d FROM documents WHERE lang = 'en' GROUP BY doc_id)

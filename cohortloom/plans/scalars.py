@@ -196,17 +196,26 @@ def f08(spark, sf):
     return column_sets(spark, sf).select("run_key", F.inline(F.array(names.classify_columns(F.col("cols")))))
 
 
-_EVIDENCE_SQL = "list_sort(list_filter([" + ", ".join(
-    "CASE WHEN len(list_filter(cols, lambda x: " + " OR ".join(f"starts_with(lower(x), '{p}')" for p in ps) + f")) > 0 THEN '{m}' END"
-    for m, ps in names.COLUMN_PREFIXES.items()
-) + "], lambda x: x IS NOT NULL))"
+EVIDENCE_NAMES = [
+    "gaze_x", " Pupil_L", "fixationseq", "SaccadeSeq", "fixationseq_id", "ecg_mv", "gsr_us", "emg_mv", "respiration_mv", "respiration", "trim",
+    "pilot_head_roll_deg", "aircraft_pitch", "Total_Error", "total_error_x", "accelerometry_torso_x", "left_throttle", "aileron_command", "time",
+]
 
 
 @query("f08_column_evidence", f"""
-WITH {SAMPLES}, {COLUMN_SETS}
-SELECT run_key, array_to_string({_EVIDENCE_SQL}, ';') AS evidence FROM sets""")
+WITH {SAMPLES}, sets AS (SELECT run_key, list(DISTINCT lower(trim({EVIDENCE_NAMES}[k % {len(EVIDENCE_NAMES)} + 1]))) AS cols FROM samples GROUP BY run_key),
+kinds AS (SELECT * FROM (VALUES ('ecg', '^ecg_'), ('emg', '^emg_'), ('eda', '^(eda|gsr)_'), ('respiration', '^respiration_'), ('head_movement', '^pilot_head_'),
+  ('xplane', '^aircraft_'), ('torso_body_accelerometer', '^accelerometry_torso_'),
+  ('eye_tracking', '^(gaze_|pupil_|eye_openness|validity_|convergence_)|^(fixation|saccade)seq$'),
+  ('performance', '^((glideslope|localizer)_error_deg|airspeed_error_kts|total_error)$'),
+  ('control_input', 'joystick|yoke|throttle|rudder|control_input|flight_control|(stick|pedal)_position|(aileron|elevator)_command')) v(kind, pattern)),
+names AS (SELECT run_key, unnest(cols) AS c FROM sets),
+hits AS (SELECT run_key, string_agg(DISTINCT kind, ';' ORDER BY kind) AS evidence FROM names JOIN kinds ON regexp_matches(c, pattern) GROUP BY run_key)
+SELECT run_key, coalesce(evidence, '') AS evidence FROM sets LEFT JOIN hits USING (run_key)""")
 def f08_evidence(spark, sf):
-    return column_sets(spark, sf).select("run_key", F.concat_ws(";", names.modality_evidence(F.col("cols"))).alias("evidence"))
+    name = F.element_at(F.array(*[F.lit(c) for c in EVIDENCE_NAMES]), (F.col("k") % len(EVIDENCE_NAMES) + 1).cast("int"))
+    sets = samples(spark, sf).groupBy("run_key").agg(F.collect_set(name).alias("cols"))
+    return sets.select("run_key", F.concat_ws(";", names.modality_evidence(F.col("cols"))).alias("evidence"))
 
 
 _FNAME_SQL = "['sub_lslxp11_dat.csv', 'sub_ecg_dat.csv', 'sub_bitalino_emg.csv', 'notes.csv', 'LICENSE.txt'][hash_k + 1]"

@@ -450,3 +450,22 @@ def test_many_seeds_are_told_apart(spark):
     for wrong in (rows[:-1] + [rows[0]], rows[:-1], rows + [rows[3]], rows[1:] + [(1, 999, *rows[0][2:])]):
         with pytest.raises(Exception, match="expected seeds"):
             metrics.canonicalize(spark.createDataFrame(wrong, schema), ["run"], seeds).collect()
+
+
+def test_schedules_of_tasks(spark):
+    rows = [("s", "rest", "000", "001"), ("s", "rest", "001", "002"), ("s", "walk", "000", "001"), *[("s", "ils", l, r) for l, r in audit.EXPECTED_SCHEDULE]]
+    got = audit.task_schedule_variance(spark.createDataFrame(rows, "s string, task string, l string, r string"), "s", "task", "l", "r").collect()
+    assert {(r.task, r.level, r.run, r.status) for r in got} == {
+        ("rest", "000", "002", "schedule_mapping_hole"), ("rest", "001", "002", "unexpected"), ("walk", "000", "001", "unexpected"),
+    }
+
+
+@pytest.mark.parametrize("columns, found", [
+    (["FixationSeq"], ["eye_tracking"]), (["fixationseq2"], []), (["total_error "], ["performance"]), (["my_total_error"], []),
+    (["left_stick_position", "aircraft_rudder_trim"], ["control_input", "xplane"]), (["aircraft_pitch"], ["xplane"]), ([], []), (None, []),
+])
+def test_evidence_of_column_names(spark, columns, found):
+    from cohortloom.functions import names
+
+    df = spark.createDataFrame([(columns,)], "c array<string>")
+    assert df.select(names.modality_evidence(F.col("c")).alias("e")).first().e == found
