@@ -117,7 +117,9 @@ def excerpt_by_time(df: DataFrame, t: str, lo: float, hi: float) -> DataFrame:
 
 PIVOTS = 16
 BLOCK_ROWS = 20_000
-HELD_DISTANCES = 4_000_000  # distances a task ranks at a time (32 MB, and as much for their order)
+HELD_DISTANCES = 1_000_000  # distances a task holds at a time (8 MB, and as much for their order where all are ranked)
+
+CACHED_ROWS = 1024  # rows that are compared with one row after another
 
 
 def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
@@ -128,6 +130,60 @@ def _distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
+def _reach(a: np.ndarray, b: np.ndarray, p: int, k: int) -> np.ndarray | None:
+    """Which rows of ``b`` may be among the k nearest of each row of ``a``: a superset from rounded distances; None if they fail.
+
+    Euclidean ones are squared and come from one matrix product, the others from single precision. The limit of a row is the
+    k-th smallest of group minima, which k rows reach, and is widened by more than rounding can move a distance.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        if p == 1:
+            rows, near, ones = a.astype(np.float32), np.empty((len(a), len(b)), np.float32), np.ones(b.shape[1], np.float32)
+            for at in range(0, len(b), CACHED_ROWS):
+                small = b[at:at + CACHED_ROWS].astype(np.float32)
+                gap = np.empty_like(small)
+                for i, row in enumerate(rows):
+                    np.subtract(small, row, out=gap)
+                    np.abs(gap, out=gap)
+                    np.dot(gap, ones, out=near[i, at:at + len(gap)])
+            slack = np.abs(a).sum(axis=1) + np.abs(b).sum(axis=1).max()
+            slack = slack * (4 * (b.shape[1] + 8) * np.finfo(np.float32).eps) + 1e-30
+        else:
+            own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            near = a @ b.T
+            near *= -2
+            near += other
+            near += own[:, None]
+            slack = (own + other.max()) * (8 * (b.shape[1] + 8) * np.finfo(float).eps) + 1e-290
+        groups = max(4 * k, 256)
+        whole = len(b) // groups * groups
+        least = near[:, whole:]
+        if whole:
+            least = np.concatenate([near[:, :whole].reshape(len(a), -1, groups).min(axis=1), least], axis=1)
+        limit = np.partition(least, k - 1, axis=1)[:, k - 1].astype(float) + slack
+    if not (np.isfinite(limit).all() and np.isfinite(slack).all()):
+        return None
+    # rows are compared in the precision of ``near``, so the limit is rounded up
+    return near <= np.nextafter(limit.astype(near.dtype), np.array(np.inf, near.dtype))[:, None]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, p: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``b`` and distances of the k nearest rows of each row of ``a``; ties go to the lower place."""
+    plain = len(b) <= k or not (np.isfinite(a).all() and np.isfinite(b).all())
+    reach = None if plain else _reach(a, b, p, k)
+    if reach is None:
+        d = _distances(a, b, p)
+        top = np.argsort(d, axis=1, kind="stable")[:, :k].copy()  # a view would keep the whole order
+        return top, np.take_along_axis(d, top, axis=1)
+    top, near = np.empty((len(a), k), np.int64), np.empty((len(a), k))
+    for i, row in enumerate(reach):
+        some = np.flatnonzero(row)
+        d = _distances(a[i : i + 1], b[some], p)[0]
+        best = np.argsort(d, kind="stable")[:k]
+        top[i], near[i] = some[best], d[best]
+    return top, near
+
+
 def knn_join(test: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int, p: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest train rows per test row (Minkowski p = 1 or 2); ties go to the lower train key."""
     picked = train.orderBy(F.xxhash64(key), key).limit(PIVOTS).select(vec).collect()
@@ -186,10 +242,9 @@ def knn_join(test: DataFrame, train: DataFrame, key: str, vec: str, label: str,
         step = max(1, HELD_DISTANCES // len(known))
         tops, nearest = [], []
         for i in range(0, len(asked), step):
-            d = _distances(asked[i:i + step], known, p)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k].copy()  # a view would keep the whole order
+            top, near = _nearest(asked[i:i + step], known, p, k)
             tops.append(top)
-            nearest.append(np.take_along_axis(d, top, axis=1))
+            nearest.append(near)
         top = np.concatenate(tops)
         width = top.shape[1]
         return pd.DataFrame({

@@ -111,6 +111,29 @@ def test_knn_is_exact(spark, p, block):
         assert got[got.id == q].neighbor.tolist() == tr[np.lexsort((tr, d))[:5]].tolist()
 
 
+@pytest.mark.parametrize("p", [1, 2])
+def test_knn_measures_few_rows_exactly_and_keeps_ties(p, monkeypatch):
+    rng = np.random.default_rng(6)
+    measure, measured = joins._distances, []
+    monkeypatch.setattr(joins, "_distances", lambda a, b, q: measured.append(len(a) * len(b)) or measure(a, b, q))
+    odd = rng.normal(size=(900, 3))
+    odd[5, 1], odd[7, 2] = np.nan, np.inf
+    spread = rng.normal(size=(4000, 16))
+    for known, some in [
+        (spread, 0.05), (np.round(rng.normal(size=(4000, 2)), 1), 0.5), (spread + 1e6, 1), (np.repeat(spread[:8], 500, axis=0), 0.5),
+        (spread * 1e200, 1), (spread * 1e-200, 1), (np.zeros((600, 2)), 1), (odd, 1), (spread[:6], 1),
+    ]:
+        asked = known[::97]
+        with np.errstate(all="ignore"):
+            d = measure(asked, known, p)
+            measured.clear()
+            top, near = joins._nearest(asked, known, p, 7)
+        want = np.argsort(d, axis=1, kind="stable")[:, :7]
+        assert (top == want).all()
+        np.testing.assert_array_equal(near, np.take_along_axis(d, want, axis=1))
+        assert sum(measured) <= some * d.size  # before, all were measured and sorted
+
+
 def test_validated_join_fails_inside_the_plan(spark):
     l = spark.createDataFrame([(1, "a"), (2, "b")], "k long, a string")
     r = spark.createDataFrame([(1, "x"), (1, "y")], "k long, b string")
