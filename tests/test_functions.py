@@ -112,6 +112,16 @@ def test_sql_and_numpy_codebooks_agree_and_shorter_is_prefix(spark):
     assert np.array_equal(a[:100], hv.published_bipolar(42, "feature_identity", "x", 100, "v1")) and set(a) == {-1, 1}
 
 
+def test_codebook_column_of_any_length_takes_one_step_a_digit(spark, capsys):
+    rows = spark.createDataFrame([("a",), ("b|c",), (None,)], "id string")
+    for dim in (1, 3, 5, 128, 131):
+        df = rows.select("id", hv.bipolar_column(F.lit(7), "row", F.col("id"), dim).alias("hv"))
+        for r in df.collect():
+            assert r.hv == (hv.bipolar(7, "row", r.id, dim).tolist() if r.id else [-1] * dim)
+        df.explain()
+        assert "POWER" not in capsys.readouterr().out.upper()  # before, powers and divisions for every coordinate
+
+
 def test_level_codebook_flips_in_steps():
     book = hv.level_codebook(42, 5, 40)
     changed = [int((book[i] != book[i + 1]).sum()) for i in range(4)]
