@@ -5,9 +5,9 @@ by a hash of the word; a part adds up the training counts of its words, splits e
 sends counts and subwords back to the slices. So a word is encoded once for the corpus, and what is shuffled are the
 distinct words of slices, not the words of texts.
 
-Subword counts of all training texts decide symbols, classes and shares (``attention.subwords``). One window of every
-training text goes to a shard; shards train side by side from the same weights, their mean starts the next round. Scores
-come from windows that overlap (``attention.log10_scores``).
+Subword counts of all training texts decide symbols, classes and shares (``attention.subwords``). All training texts are
+cut into windows, so that every subword and end is learnt from; shards of windows train side by side from the same weights,
+their mean starts the next round. Scores come from windows that overlap (``attention.log10_scores``).
 """
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ from cohortloom.llm.components import settled
 from cohortloom.llm.samples import is_held_out
 
 #: Bytes of text of a slice (a longer text is a slice of its own); distinct words of slices in a part; windows of a shard.
-SLICE, PART_WORDS, SHARD_WINDOWS = 1 << 24, 500_000, 16_384
+SLICE, PART_WORDS, SHARD_WINDOWS = 1 << 24, 500_000, 1 << 17
 #: Passes over the training windows, with a mean over the shards after each.
 ROUNDS = 3
 #: Groups that shards' weights are added up in before the driver sees them.
@@ -39,7 +39,7 @@ _SLICE_SCHEMA = "slice long, doc_ids array<long>, held array<boolean>, sizes bin
 _PART_SCHEMA = "slice long, part long, places binary, lengths binary, bytes binary, counts binary"
 _BACK_SCHEMA = "slice long, places binary, counts binary, lengths binary, ids binary, id int, n long"
 _SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-_WINDOW_SCHEMA = "text long, symbols binary, targets binary"
+_WINDOW_SCHEMA = "shard long, keys binary, symbols binary, targets binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -195,37 +195,48 @@ def _texts(sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray, first: np.
         at = to
 
 
-def _drawn(known: attention.Subwords):
-    """One window of each training text, at a place that follows from the text's place in its slice."""
+def _cut(known: attention.Subwords, shards: int):
+    """Training texts cut into windows side by side, every subword and end the target of one window, dealt to the shards.
 
-    def draw(table: pa.Table) -> pa.Table:
-        doc_ids, held, sizes, codes, _, lengths, first, ids = _slice_of(table)
+    The cuts of a text start at a place that follows from its place in the slice.
+    """
+
+    def cut(table: pa.Table) -> pa.Table:
+        _, held, sizes, codes, _, lengths, first, ids = _slice_of(table)
         number = np.uint64(table["slice"][0].as_py())
         steps = np.arange(attention.WINDOW)
-        out = [(np.zeros(0, np.int64), np.zeros((0, len(steps)), np.int16), np.zeros((0, len(steps)), np.int8))]
+        found = [(np.zeros(0, np.uint64), np.zeros((0, len(steps)), np.int16), np.zeros((0, len(steps)), np.int8))]
         for at, to, own, n in _texts(sizes, codes, lengths, first, ids):
-            symbols, targets, begin, windows = attention.stream(own, n, known)
+            symbols, targets, begin, _ = attention.stream(own, n, known)
             mixed = textbytes.mix((number << np.uint64(20)) + np.arange(at, to, dtype=np.uint64))
-            room = np.maximum(n + 1 - attention.STRIDE, 1).astype(np.uint64)
-            start = begin + ((mixed >> np.uint64(8)) % room).astype(np.int64)
-            last = begin + attention.LEAD + windows * attention.STRIDE
-            where = start[:, None] + steps
-            beyond = where >= last[:, None]
-            where = np.minimum(where, (last - 1)[:, None])
-            kept = ~held[at:to]
+            start = begin + ((mixed >> np.uint64(8)) % np.uint64(attention.LEAD + 1)).astype(np.int64)
+            last = begin + attention.LEAD + n + 1
+            windows = np.where(held[at:to], 0, -(-(last - start) // attention.WINDOW))
+            nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            where = (np.repeat(start, windows) + nth * attention.WINDOW)[:, None] + steps
+            ends = np.repeat(last, windows)[:, None]
+            beyond = where >= ends
+            where = np.minimum(where, ends - 1)
             seen, wanted = np.where(beyond, attention.PAD, symbols[where]), np.where(beyond, -1, targets[where])
-            out.append((mixed.view(np.int64)[kept], seen[kept].astype(np.int16), wanted[kept].astype(np.int8)))
-        text, seen, wanted = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"text": text, "symbols": pa.array([x.tobytes() for x in seen], pa.binary()), "targets": pa.array([x.tobytes() for x in wanted], pa.binary())})
+            found.append((textbytes.mix(np.repeat(mixed, windows) + nth.astype(np.uint64)), seen.astype(np.int16), wanted.astype(np.int8)))
+        keys, seen, wanted = (np.concatenate(x) for x in zip(*found))
+        shard = (textbytes.mix(keys) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        there = np.flatnonzero(np.diff(bounds))
+        parts = [order[bounds[s] : bounds[s + 1]] for s in there]
+        packs = {"keys": [keys[x].tobytes() for x in parts], "symbols": [packed(seen[x]) for x in parts], "targets": [packed(wanted[x]) for x in parts]}
+        return pa.table({"shard": pa.array(there, pa.int64()), **{name: pa.array(x, pa.binary()) for name, x in packs.items()}})
 
-    return draw
+    return cut
 
 
 def _trained(weights: np.ndarray, start: int):
     def fit(table: pa.Table) -> pa.Table:
-        order = np.argsort(textbytes.mix(table["text"].to_numpy().view(np.uint64) + np.uint64(start)), kind="stable")
-        symbols = np.frombuffer(b"".join(table["symbols"].to_pylist()), np.int16).reshape(-1, attention.WINDOW)[order]
-        targets = np.frombuffer(b"".join(table["targets"].to_pylist()), np.int8).reshape(-1, attention.WINDOW)[order]
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+        order = np.argsort(textbytes.mix(keys + np.uint64(start)), kind="stable")
+        symbols = np.concatenate([unpacked(x, np.int16) for x in table["symbols"].to_pylist()]).reshape(-1, attention.WINDOW)[order]
+        targets = np.concatenate([unpacked(x, np.int8) for x in table["targets"].to_pylist()]).reshape(-1, attention.WINDOW)[order]
         w = attention.train(attention.shaped(weights), symbols, targets)
         return pa.table({"shard": table["shard"].slice(0, 1), "weights": pa.array([attention.flat(w).tobytes()], pa.binary()), "n": [1]})
 
@@ -237,13 +248,16 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([total.tobytes()], pa.binary()), "n": [sum(table["n"].to_pylist())]})
 
 
-def train(windows: DataFrame, n: int, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (flat) after ``rounds`` passes over all windows: shards of equal expected size, and the mean of their weights."""
+def shards_of(subwords: int, texts: int) -> int:
+    """Shards of about ``SHARD_WINDOWS`` windows, from the training texts and their subwords."""
+    return max(1, -(-((subwords + texts) // attention.WINDOW + texts) // SHARD_WINDOWS))
+
+
+def train(dealt: DataFrame, n: int, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (flat) after ``rounds`` passes over all windows of ``n`` texts: shards of equal expected size, and the mean of their weights."""
     weights = attention.flat(attention.fresh(prior))
     if not n:
         return weights
-    shards = -(-n // SHARD_WINDOWS)
-    dealt = windows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
     for r in range(rounds):
         fitted = dealt.groupBy("shard").applyInArrow(_trained(weights, r), "shard long, weights binary, n long")
         sums = fitted.withColumn("mean", F.pmod("shard", F.lit(MEANS))).groupBy("mean").applyInArrow(_added, "weights binary, n long").collect()
@@ -290,7 +304,7 @@ def score(documents: DataFrame, path: str, modulus: int = 7, rest: int = 2) -> D
     counts[list(uses)] = list(uses.values())
     known = attention.subwords(counts, ends)
     texts = slices.select("slice", "doc_ids", "held", "sizes", "codes").unionByName(back.where("id IS NULL").select("slice", "places", "counts", "lengths", "ids"), allowMissingColumns=True).groupBy("slice")
-    windows = settled(texts.applyInArrow(_drawn(known), _WINDOW_SCHEMA))
+    windows = settled(texts.applyInArrow(_cut(known, shards_of(int(counts.sum()), ends)), _WINDOW_SCHEMA))
     weights = train(windows, ends, known.prior)
     scored = texts.applyInArrow(_scored(weights, known, n, distinct, ends), _SCORE_SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -135,6 +135,30 @@ def test_base_scores_and_odd_rows(spark):
     assert by_id[3].score == pytest.approx(by_id[4].score)
 
 
+def test_every_subword_of_a_training_text_is_learnt_from_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    known = attention.subwords(rng.integers(0, 50, 3000), 7)
+    lengths, codes = np.array([1, 3, 2, 0, 4]), rng.integers(0, 5, 2600)
+    sizes = np.array([0, 1, 2400, 30, 100, 69])  # words of texts; the longest has far more subwords than a window
+    held = np.array([False, False, False, True, False, False])
+    ids, first = rng.integers(0, 3000, 10).astype(np.int32), np.cumsum(lengths) - lengths
+    monkeypatch.setattr(lm_scoring, "_slice_of", lambda table: (None, held, sizes, codes, None, lengths, first, ids))
+    own = np.repeat(np.repeat(~held, sizes), lengths[codes])
+    laid = np.concatenate([ids[first[c] : first[c] + lengths[c]] for c in codes])
+    want = np.bincount(known.kind[laid[own]], minlength=attention.CLASSES)
+    want[attention.END] += 5
+    for shards, laid_out in ((1, 1 << 18), (4, 100)):
+        monkeypatch.setattr(lm_scoring, "LAID_OUT", laid_out)
+        got = lm_scoring._cut(known, shards)(pa.table({"slice": [3]})).to_pylist()
+        assert [r["shard"] for r in got] == list(range(shards))
+        targets = np.concatenate([lm_scoring.unpacked(r["targets"], np.int8) for r in got])
+        symbols = np.concatenate([lm_scoring.unpacked(r["symbols"], np.int16) for r in got])
+        assert (np.bincount(targets[targets >= 0], minlength=attention.CLASSES) == want).all()  # before, one window of a text counted
+        assert (symbols == attention.START).sum() == 5 and (symbols[targets >= 0] != attention.PAD).all()
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in got])
+        assert len(np.unique(keys)) == len(keys) == len(targets) // attention.WINDOW <= lm_scoring.SHARD_WINDOWS
+
+
 def test_slices_and_parts_change_no_base_score(spark, monkeypatch):
     texts = random_texts(random.Random(5), 50)
     columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
