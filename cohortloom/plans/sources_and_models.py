@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortloom import session
 from cohortloom.functions.numeric import argmax_low, bound
-from cohortloom.operators import boosting, linear, metrics, models, tables
+from cohortloom.operators import boosting, forest, linear, metrics, models, tables
 from cohortloom.sources import files, sinks, versions
 from cohortloom.sources.tables import read_table
 
@@ -177,8 +177,8 @@ def m03_certificate(spark, sf):
 
 @query("m04_random_forest_classifier")
 def m04(spark, sf):
-    v, train = _data(spark, sf, "target_class")
-    return _classified(models.forest_classifier(train, trees=200, depth=20), v)
+    found = forest.predictions(vectors(spark, sf), F.expr(TRAIN), "vec", "target_class", 4, trees=200, depth=20)
+    return found.select("vec_id", "target_class", F.col("prediction").cast("int").alias("prediction"))
 
 
 @query("m04_random_forest_regressor")
