@@ -5,10 +5,10 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +40,6 @@ def binary_svm(train: DataFrame, c: float = 1.0):
     return LinearSVC(regParam=1 / (c * n), standardization=False, maxIter=50).fit(train)
 
 
-def forest_classifier(train: DataFrame, trees: int = 200, depth: int = 20, seed: int = 42):
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-
-
-def forest_regressor(train: DataFrame, trees: int = 200, depth: int = 20, seed: int = 42):
-    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(train)
-
-
 def boosted_classifier(train: DataFrame, rounds: int = 100, rate: float = 0.1, depth: int = 2, seed: int = 42):
     """Spark boosts two classes at a time, so one booster per class against the rest."""
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)).fit(train)

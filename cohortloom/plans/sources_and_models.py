@@ -183,8 +183,8 @@ def m04(spark, sf):
 
 @query("m04_random_forest_regressor")
 def m04_reg(spark, sf):
-    v, train = _data(spark, sf, "target_score")
-    return models.regression_output(models.forest_regressor(train, trees=200, depth=20).transform(v), ["vec_id", "target_score"])
+    found = forest.predictions(vectors(spark, sf), F.expr(TRAIN), "vec", "target_score", None, trees=200, depth=20)
+    return models.regression_output(found, ["vec_id", "target_score"])
 
 
 @query("m06_boosted_classifier")
