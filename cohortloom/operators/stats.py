@@ -158,8 +158,8 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], unit: str, value: str, reps
     """Percentile interval of the mean over units."""
     df = ordered.settle(df)  # one row per unit, read for the numbers, the draws and the point estimate
     numbered = ordered.settle(number_units(df.where(F.col(value).isNotNull()), keys, unit))
-    # A position nobody draws adds nothing and drops out of the join.
-    drawn = numbered.withColumn("_one", F.lit(1.0)).join(draws_of(numbered, keys, reps, salt), ["_n", "_i"])
+    # A position nobody draws adds nothing and drops out of the join. Draws are many for each unit, so they never pass the driver.
+    drawn = numbered.withColumn("_one", F.lit(1.0)).join(draws_of(numbered, keys, reps, salt).hint("merge"), ["_n", "_i"])
     sums = resampled_sums(drawn, keys, [value, "_one"], reps)
     means = ordered.settle(sums.select(*keys, (F.col(value) / F.col("_one")).alias("_estimate")))
     tail = (1 - level) / 2
@@ -178,7 +178,8 @@ def cluster_bootstrap(pred: DataFrame, keys: Sequence[str], unit: str, metric: s
     sums = ordered.settle(pred.groupBy(*keys, unit).agg(*metrics.class_sums()))
     parts = [c for c in sums.columns if c not in (*keys, unit)]
     numbered = ordered.settle(number_units(sums.select(unit).distinct(), [], unit))
-    drawn = sums.join(numbered.join(draws_of(numbered, [], reps, salt), ["_n", "_i"]).select(unit, "_reps"), unit)
+    of_unit = numbered.join(draws_of(numbered, [], reps, salt).hint("merge"), ["_n", "_i"]).select(unit, "_reps")
+    drawn = sums.join(of_unit.hint("merge"), unit)  # draws are many for each unit, so they never pass the driver
     scores = ordered.settle(resampled_sums(drawn, keys, parts, reps).select(*keys, "_rep", *metrics.class_scores()))
     q = ordered.exact_quantiles(scores, keys, metric, [0.025, 0.975], "_q")
     point = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts]).select(*keys, *metrics.class_scores())

@@ -250,6 +250,22 @@ def test_rank_biserial_signs(spark):
     assert got == {"a": (1.0, 1.0), "b": (-1.0, -1.0), "c": (None, 0.0)}
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_bootstrap_draws_are_not_broadcast(spark, monkeypatch, clustered):
+    seen, sums = [], stats.resampled_sums
+    monkeypatch.setattr(stats, "resampled_sums", lambda units, *rest: seen.append(units) or sums(units, *rest))
+    if clustered:
+        df = spark.createDataFrame([("m", u, u % 4, (u + u % 3) % 4) for u in range(30)], "m string, u long, y_true int, y_pred int")
+        stats.cluster_bootstrap(df, ["m"], "u", "macro_f1", reps=20).collect()
+    else:
+        df = spark.createDataFrame([("m", u, float(u % 7)) for u in range(30)], "m string, u long, v double")
+        stats.bootstrap_ci(df, ["m"], "u", "v", reps=20).collect()
+    seen[0].collect()  # the joins are picked as it runs
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("_i#" in line or "[u#" in line)]
+    assert "_reps" in plan and not sent
+
+
 def test_bootstrap_of_a_constant_and_repeatability(spark):
     df = spark.createDataFrame([(0, i, 2.5) for i in range(35)] + [(1, i, float(i)) for i in range(35)], "k int, u int, v double")
     a, b = (stats.bootstrap_ci(df, ["k"], "u", "v", reps=200).toPandas().sort_values("k").reset_index(drop=True) for _ in range(2))
