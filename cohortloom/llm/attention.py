@@ -161,11 +161,10 @@ def log10_scores(w: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray,
     return total
 
 
-def _gathered(place: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows that belong to each of n places."""
+def _gathered(sorted_places: tuple[np.ndarray, ...], rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that belong to each of n places; the order by place, the places there, and where each begins in it."""
+    order, there, begin = sorted_places
     out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(place, kind="stable")
-    there, begin = np.unique(place[order], return_index=True)
     out[there] = np.add.reduceat(rows[order], begin, axis=0)
     return out
 
@@ -190,12 +189,14 @@ def gradient(w: dict[str, np.ndarray], symbols: np.ndarray, targets: np.ndarray)
     d_a -= (d_a * a).sum(axis=2, keepdims=True)
     d_a *= a
     d_back = d_a.sum(axis=0)
+    order = np.argsort(own, kind="stable")
+    places = order, *np.unique(own[order], return_index=True)
     grads = {
         "out": looked.reshape(-1, WIDTH).T @ p,
-        "own": _gathered(own, p, SYMBOLS),
-        "value": _gathered(own, (a.transpose(0, 2, 1) @ d_looked).reshape(-1, WIDTH), SYMBOLS),
-        "query": _gathered(own, (d_a @ k).reshape(-1, WIDTH), SYMBOLS),
-        "key": _gathered(own, (d_a.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), SYMBOLS),
+        "own": _gathered(places, p, SYMBOLS),
+        "value": _gathered(places, (a.transpose(0, 2, 1) @ d_looked).reshape(-1, WIDTH), SYMBOLS),
+        "query": _gathered(places, (d_a @ k).reshape(-1, WIDTH), SYMBOLS),
+        "key": _gathered(places, (d_a.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), SYMBOLS),
         "distance": np.array([np.trace(d_back, -d) for d in range(WINDOW)], np.float32),
     }
     return loss, grads

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortloom.llm import attention, bpe, textbytes
@@ -43,13 +43,15 @@ _WINDOW_SCHEMA = "shard long, keys binary, symbols binary, targets binary"
 
 
 def packed(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
+    """The numbers compressed, all first bytes before all second bytes and so on: the high ones are mostly zero."""
+    raw = np.ascontiguousarray(values).reshape(-1, 1).view(np.uint8).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes, dtype) -> np.ndarray:
     size = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True) if size else b"", dtype)
+    planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return planes.reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
 
 
 # --- slices: numbered words ------------------------------------------------------------------------
@@ -232,13 +234,18 @@ def _cut(known: attention.Subwords, shards: int):
 
 
 def _trained(weights: np.ndarray, start: int):
-    def fit(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-        order = np.argsort(textbytes.mix(keys + np.uint64(start)), kind="stable")
-        symbols = np.concatenate([unpacked(x, np.int16) for x in table["symbols"].to_pylist()]).reshape(-1, attention.WINDOW)[order]
-        targets = np.concatenate([unpacked(x, np.int8) for x in table["targets"].to_pylist()]).reshape(-1, attention.WINDOW)[order]
-        w = attention.train(attention.shaped(weights), symbols, targets)
-        return pa.table({"shard": table["shard"].slice(0, 1), "weights": pa.array([attention.flat(w).tobytes()], pa.binary()), "n": [1]})
+    def fit(rows: Iterable[tuple[int, Row]]) -> Iterator[tuple[int, bytes, int]]:
+        shards: dict[int, list[Row]] = {}
+        for shard, row in rows:
+            shards.setdefault(shard, []).append(row)
+        while shards:
+            shard, own = shards.popitem()
+            keys = np.frombuffer(b"".join(r["keys"] for r in own), np.uint64)
+            order = np.argsort(textbytes.mix(keys + np.uint64(start)), kind="stable")
+            symbols = np.concatenate([unpacked(r["symbols"], np.int16) for r in own]).reshape(-1, attention.WINDOW)[order]
+            targets = np.concatenate([unpacked(r["targets"], np.int8) for r in own]).reshape(-1, attention.WINDOW)[order]
+            del own, keys
+            yield shard, attention.flat(attention.train(attention.shaped(weights), symbols, targets)).tobytes(), 1
 
     return fit
 
@@ -253,13 +260,17 @@ def shards_of(subwords: int, texts: int) -> int:
     return max(1, -(-((subwords + texts) // attention.WINDOW + texts) // SHARD_WINDOWS))
 
 
-def train(dealt: DataFrame, n: int, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (flat) after ``rounds`` passes over all windows of ``n`` texts: shards of equal expected size, and the mean of their weights."""
+def train(dealt: DataFrame, shards: int, n: int, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (flat) after ``rounds`` passes over all windows of ``n`` texts: shards of equal expected size, and the mean of their weights.
+
+    The windows are shuffled to their shards once: every round reads the same shuffle files, and no other copy is written.
+    """
     weights = attention.flat(attention.fresh(prior))
     if not n:
         return weights
+    at_shards = dealt.rdd.map(lambda row: (row["shard"], row)).partitionBy(shards, int)
     for r in range(rounds):
-        fitted = dealt.groupBy("shard").applyInArrow(_trained(weights, r), "shard long, weights binary, n long")
+        fitted = dealt.sparkSession.createDataFrame(at_shards.mapPartitions(_trained(weights, r)), "shard long, weights binary, n long")
         sums = fitted.withColumn("mean", F.pmod("shard", F.lit(MEANS))).groupBy("mean").applyInArrow(_added, "weights binary, n long").collect()
         weights = (sum(np.frombuffer(s["weights"], np.float64) for s in sums) / sum(s["n"] for s in sums)).astype(np.float32)
     return weights
@@ -304,7 +315,7 @@ def score(documents: DataFrame, path: str, modulus: int = 7, rest: int = 2) -> D
     counts[list(uses)] = list(uses.values())
     known = attention.subwords(counts, ends)
     texts = slices.select("slice", "doc_ids", "held", "sizes", "codes").unionByName(back.where("id IS NULL").select("slice", "places", "counts", "lengths", "ids"), allowMissingColumns=True).groupBy("slice")
-    windows = settled(texts.applyInArrow(_cut(known, shards_of(int(counts.sum()), ends)), _WINDOW_SCHEMA))
-    weights = train(windows, ends, known.prior)
+    shards = shards_of(int(counts.sum()), ends)
+    weights = train(texts.applyInArrow(_cut(known, shards), _WINDOW_SCHEMA), shards, ends, known.prior)
     scored = texts.applyInArrow(_scored(weights, known, n, distinct, ends), _SCORE_SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

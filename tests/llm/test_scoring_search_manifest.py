@@ -159,6 +159,36 @@ def test_every_subword_of_a_training_text_is_learnt_from_once(monkeypatch):
         assert len(np.unique(keys)) == len(keys) == len(targets) // attention.WINDOW <= lm_scoring.SHARD_WINDOWS
 
 
+def test_windows_are_shuffled_once_and_never_written_again(spark, monkeypatch, tmp_path):
+    settled, cuts = [], tmp_path / "cuts"
+    monkeypatch.setattr(lm_scoring, "settled", lambda df, to=lm_scoring.settled: settled.append(df.columns) or to(df))
+    monkeypatch.setattr(lm_scoring, "SHARD_WINDOWS", 16)
+    cut = lm_scoring._cut
+
+    def counted(known, shards):
+        own = cut(known, shards)
+
+        def count(table):
+            with cuts.open("a") as f:
+                f.write("x")
+            return own(table)
+
+        return count
+
+    monkeypatch.setattr(lm_scoring, "_cut", counted)
+    found = lm_scoring.score(docs(spark, random_texts(random.Random(6), 300)).repartition(1), tokenizer_path()).collect()
+    assert len(found) == 300 and cuts.read_text() == "x"  # before, each round's shuffle and a settled copy held all windows
+    assert not any("targets" in columns for columns in settled)
+
+
+def test_packed_numbers_come_back_and_small_ones_take_less():
+    rng = np.random.default_rng(3)
+    codes = np.minimum(rng.zipf(1.2, 50_000), 400_000).astype(np.int32)
+    for x in (codes, codes.astype(np.int8), codes.astype(np.int16).reshape(-1, 10)[:, ::2], codes[:0]):
+        assert (lm_scoring.unpacked(lm_scoring.packed(x), x.dtype) == x.ravel()).all()
+    assert len(lm_scoring.packed(codes)) < 0.95 * len(pa.compress(codes.tobytes(), codec="zstd", asbytes=True))
+
+
 def test_slices_and_parts_change_no_base_score(spark, monkeypatch):
     texts = random_texts(random.Random(5), 50)
     columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
