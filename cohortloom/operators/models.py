@@ -144,16 +144,18 @@ def nested_predictions(
 ) -> DataFrame:
     """Out-of-fold predictions: impute, scale and select on each training side, fit, predict the held-out fold.
 
-    The driver only submits one fit per fold; state, features and predictions stay distributed.
+    The driver only submits one fit per fold; state, features and predictions stay distributed. The state is fitted once and,
+    cut down to the chosen features (a row per fold and feature), broadcast; one pass lays out training and held-out rows.
     """
-    state = prep.fit(long, fold, k, label, target)
-    chosen = prep.select(state, score, top).select("outer_fold", "feature", "rank")
-    train = prep.transform(prep.train_copies(long, fold, k), state, "outer_fold").join(chosen, ["outer_fold", "feature"])
-    test = prep.transform(long.withColumn("outer_fold", F.col(fold)), state, "outer_fold").join(chosen, ["outer_fold", "feature"])
-    ids = ["outer_fold", ident, label, target]
-    session.checkpoint_dir(long.sparkSession)  # every fit below rereads its rows, so they are cut from their lineage once
-    train_x = assemble(train, ids, "rank", "scaled").checkpoint()
-    test_x = assemble(test, ids, "rank", "scaled").checkpoint()
+    session.checkpoint_dir(long.sparkSession)  # state and rows are read again and again, so they are cut from their lineage once
+    state = prep.fit(long, fold, k, label, target).checkpoint()
+    chosen = prep.select(state, score, top).select("outer_fold", "feature", "rank").checkpoint()
+    used = F.broadcast(state.join(chosen, ["outer_fold", "feature"], "left_semi").checkpoint())
+    copies = long.where(F.col(fold).isNotNull()).withColumn("outer_fold", F.explode(F.array(*[F.lit(i) for i in range(1, k + 1)])))
+    copies = copies.select("outer_fold", "feature", "value", ident, label, target, (F.col(fold) == F.col("outer_fold")).alias("_held"))
+    ready = prep.transform(copies, used, "outer_fold").join(F.broadcast(chosen), ["outer_fold", "feature"])
+    x = assemble(ready, ["outer_fold", "_held", ident, label, target], "rank", "scaled").checkpoint()
+    train_x, test_x = x.where(~F.col("_held")), x.where("_held")
     parts = []
     for f in range(1, k + 1):
         model = fit(frame(train_x.where(F.col("outer_fold") == f), "x", label))

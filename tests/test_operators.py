@@ -508,3 +508,39 @@ def test_evidence_of_column_names(spark, columns, found):
 
     df = spark.createDataFrame([(columns,)], "c array<string>")
     assert df.select(names.modality_evidence(F.col("c")).alias("e")).first().e == found
+
+
+def test_nested_predictions_lay_out_both_sides_in_one_pass_from_a_settled_state(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    cells = {(i, f): None if f == 2 and i % 5 == 0 else float(rng.normal(i % 2, 1)) for i in range(40) for f in range(3)}
+    rows = [(i, f"f{f}", f, x, None if i == 39 else i % 3 + 1, i % 2, float(i % 4)) for (i, f), x in cells.items()]
+    long = spark.createDataFrame(rows, "ident long, feature string, pos int, value double, fold int, label int, target double")
+    plans, seen = [], []
+    transform = models.prep.transform
+    monkeypatch.setattr(models.prep, "transform", lambda r, s, f: plans.append(s._jdf.queryExecution().optimizedPlan().toString()) or transform(r, s, f))
+
+    class First:
+        def transform(self, df):
+            return df.withColumn("prediction", F.get("x", F.lit(0)))
+
+    def fit(train):
+        seen.append({r["ident"]: r["x"] for r in train.collect()})
+        return First()
+
+    got = {(r["outer_fold"], r["ident"]): r["y_pred"] for r in models.nested_predictions(long, "fold", 3, "label", "target", "ident", "all", fit).collect()}
+    assert len(plans) == 1 and "Aggregate" not in plans[0]  # before, two passes, and the state was fitted anew in each
+    assert sorted(got) == sorted((i % 3 + 1, i) for i in range(39))
+    for f in range(1, 4):
+        train = [i for i in range(39) if i % 3 + 1 != f]
+        assert sorted(seen[f - 1]) == train
+        want = []
+        for j in range(3):
+            known = [cells[i, j] for i in train if cells[i, j] is not None]
+            full = {i: np.median(known) if cells[i, j] is None else cells[i, j] for i in range(39)}
+            want.append({i: (full[i] - np.mean([full[t] for t in train])) / np.std([full[t] for t in train]) for i in range(39)})
+        gap = {i: float(cells[i, 2] is None) for i in range(39)}
+        want.append({i: (gap[i] - np.mean([gap[t] for t in train])) / np.std([gap[t] for t in train]) for i in range(39)})
+        for i in train:
+            assert np.allclose(sorted(seen[f - 1][i]), sorted(w[i] for w in want))
+        for i in set(range(39)) - set(train):
+            assert any(np.isclose(got[f, i], w[i]) for w in want)
