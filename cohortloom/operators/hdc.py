@@ -121,16 +121,21 @@ def cosine_scores(vec: Column, key: Column, model: Mapping, per_class: int = 1)
     """Cosine to each class, clipped to [-1, 1]; the best of ``per_class`` centroids counts."""
     units = {k: m / np.linalg.norm(m, axis=1, keepdims=True) for k, m in model.items()}
 
+    block = max(1, (1 << 19) // next((u.shape[1] for u in units.values()), 1))  # rows held as doubles at once, whatever the batch
+
     @F.pandas_udf(DOUBLES)
     def score(batch: pd.Series, which: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out = np.empty((len(x), len(next(iter(units.values()))) // per_class))
+        vectors = batch.to_numpy()
+        out = np.empty((len(vectors), len(next(iter(units.values()))) // per_class))
         keys = which.to_numpy(dtype=object) if None in units else which.to_numpy()
-        for k, u in units.items():
-            at = np.ones(len(x), dtype=bool) if k is None else keys == k
-            s = np.clip(x[at] @ u.T, -1.0, 1.0)
-            out[at] = s.reshape(len(s), -1, per_class).max(axis=2)
+        for start in range(0, len(vectors), block):
+            some = slice(start, start + block)
+            x = np.stack(vectors[some]).astype(float)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for k, u in units.items():
+                at = np.flatnonzero(np.ones(len(x), dtype=bool) if k is None else keys[some] == k)
+                s = np.clip(x[at] @ u.T, -1.0, 1.0)
+                out[start + at] = s.reshape(len(s), -1, per_class).max(axis=2)
         return pd.Series(list(out))
 
     return score(vec, key)

@@ -544,3 +544,22 @@ def test_nested_predictions_lay_out_both_sides_in_one_pass_from_a_settled_state(
             assert np.allclose(sorted(seen[f - 1][i]), sorted(w[i] for w in want))
         for i in set(range(39)) - set(train):
             assert any(np.isclose(got[f, i], w[i]) for w in want)
+
+
+def test_scores_of_a_large_batch_hold_few_rows_as_doubles(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    x = rng.choice([-1, 1], (10_000, 256)).astype(np.int8)
+    keys = rng.integers(1, 3, len(x))
+    model = {k: rng.normal(size=(8, 256)) for k in (1, 2)}
+    monkeypatch.setattr(hdc.F, "pandas_udf", lambda schema: lambda f: f)
+    vectors, which = pd.Series(list(x)), pd.Series(keys)
+    tracemalloc.start()
+    got = hdc.cosine_scores(vectors, which, model, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # before, the whole batch as doubles several times, 41 MB
+    unit = {k: m / np.linalg.norm(m, axis=1, keepdims=True) for k, m in model.items()}
+    want = [(unit[k] @ (v / np.linalg.norm(v.astype(float)))).reshape(4, 2).max(axis=1) for v, k in zip(x, keys)]
+    assert np.allclose(np.stack(got), want)
