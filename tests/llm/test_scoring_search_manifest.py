@@ -117,6 +117,50 @@ def test_training_lowers_the_loss():
     assert attention.gradient(w, symbols[where], targets[where])[0] < before - 1
 
 
+def test_a_step_touches_the_rows_of_its_symbols_alone():
+    """Before, every step wrote all rows of the tables, and each block took fresh memory."""
+    rng, known, w = a_model(3000)
+    lengths = rng.integers(0, 150, 40)
+    symbols, targets, first, _ = attention.stream(rng.integers(0, 3000, lengths.sum()), lengths, known)
+    where = first[:, None] + np.arange(attention.WINDOW)
+    seen, wanted = np.where(where < len(symbols), symbols[np.minimum(where, len(symbols) - 1)], attention.PAD), np.where(where < len(symbols), targets[np.minimum(where, len(symbols) - 1)], -1)
+    room = {}
+    _, there, some = attention._sparse_gradient(attention._joined(w), w, seen[:20], wanted[:20], room)
+    kept = {name: id(x) for name, x in room.items()}
+    attention._sparse_gradient(attention._joined(w), w, seen[20:], wanted[20:], room)
+    assert (there == np.unique(seen[:20])).all() and len(some["table"]) == len(some["own"]) == len(there) < attention.SYMBOLS
+    assert kept == {name: id(x) for name, x in room.items()}
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_training_is_the_same_as_with_whole_tables(monkeypatch, size):
+    """Also where weights are so large that exponentials have to be shifted."""
+    rng, known, w = a_model(3000)
+    w = {name: (values * size).astype(np.float64) for name, values in w.items()}
+    lengths = rng.integers(0, 150, 12)
+    symbols, targets, first, _ = attention.stream(rng.integers(0, 3000, lengths.sum()), lengths, known)
+    where = first[:, None] + np.arange(attention.WINDOW)
+    seen, wanted = symbols[np.minimum(where, len(symbols) - 1)], targets[np.minimum(where, len(symbols) - 1)]
+    monkeypatch.setattr(attention, "BLOCK", 5)
+    got = attention.train(w, seen, wanted)
+    squares = {name: np.full_like(values, 1e-8) for name, values in w.items()}
+    for at in range(0, len(seen), 5):
+        _, grads = attention.gradient(w, seen[at : at + 5], wanted[at : at + 5])
+        for name, g in grads.items():
+            squares[name] += g * g
+        w = {name: values - attention.RATE * grads[name] / np.sqrt(squares[name]) for name, values in w.items()}
+    assert all(np.allclose(got[name], w[name], rtol=1e-9, atol=1e-9) and np.isfinite(got[name]).all() for name in w)
+
+
+def test_large_weights_score_as_place_by_place():
+    rng, known, w = a_model()
+    w = {name: values * (40 if name in ("query", "key", "distance") else 1) for name, values in w.items()}
+    lengths = np.array([0, 30, 100])
+    ids = rng.integers(0, 200, 130)
+    got = attention.log10_scores(w, ids, lengths, known)
+    assert np.allclose(got, [plain_model_score(w, x, known) for x in (ids[:0], ids[:30], ids[30:])], rtol=1e-4)
+
+
 def test_base_scores_and_odd_rows(spark):
     texts = ODD + random_texts(random.Random(4), 60)
     ids = [*range(len(texts) - 1), None]
